@@ -10,6 +10,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,7 +88,7 @@ class Codec:
     Where no piece spans words, the words of a batch that are not yet in the memo are encoded by one call, which
     shares them among its threads; texts are then put together from the memo. Else whole texts are encoded."""
 
-    MEMO = 300_000  # words held; beyond, the memo starts anew
+    MEMO = 150_000  # words held; beyond, the memo starts anew
 
     def __init__(self, model: bytes, threads: int) -> None:
         os.environ.update(RAYON_NUM_THREADS=str(threads), TOKENIZERS_PARALLELISM="true" if threads > 1 else "false")
@@ -97,8 +98,8 @@ class Codec:
         norm = proto.normalizer_spec
         self.by_word = self.whole.pre_tokenizer is not None and not norm.precompiled_charsmap and not norm.remove_extra_whitespaces and not any(p.type == USER_DEFINED for p in proto.pieces)
         self.prefix = SPACE if norm.add_dummy_prefix else ""
-        self.inner = rebuilt(model)
-        self.inner.normalizer = normalizers.Sequence([])
+        if self.by_word:  # the memo's words are normalised
+            self.whole.normalizer = normalizers.Sequence([])
         self.word, self.memo = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+"), {}
         self.marked = [p.piece.startswith(SPACE) for p in proto.pieces]
         self.bytes = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else p.piece.replace(SPACE, " ").encode() for p in proto.pieces]
@@ -119,9 +120,9 @@ class Codec:
         plain, odd = [], []
         for w in words:
             (plain if w[0] == SPACE and len(w) > 1 and SPACE not in w[1:] else odd).append(w)
-        self.memo.update(zip(odd, (e.ids for e in self.inner.encode_batch_fast(odd, add_special_tokens=False)), strict=True))
+        self.memo.update(zip(odd, (e.ids for e in self.whole.encode_batch_fast(odd, add_special_tokens=False)), strict=True))
         groups = [plain[i : i + 512] for i in range(0, len(plain), 512)]
-        for group, e in zip(groups, self.inner.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+        for group, e in zip(groups, self.whole.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = e.ids
             heads = [i for i, x in enumerate(ids) if self.marked[x]]
             self.memo.update((w, ids[a:b]) for w, a, b in zip(group, heads, [*heads[1:], len(ids)], strict=True))
@@ -143,18 +144,21 @@ def codec(model: bytes, threads: int) -> Codec:
 def encoded(text: Column, model: bytes, threads: int = 1) -> Column:
     """struct(ids array<int>, round_trip): the piece ids, and whether they decode to the text; nulls for a null text."""
 
-    @F.pandas_udf("ids array<int>, round_trip boolean")
-    def ids(texts: pd.Series) -> pd.DataFrame:
-        c, out, same = codec(model, threads), [], []
+    def ids(texts: pa.Array) -> pa.Array:
+        c, sizes, same, values = codec(model, threads), [], [], []
         for at in range(0, len(texts), 256):
-            part = texts.iloc[at : at + 256]
+            part = texts.slice(at, 256).to_pylist()
             found = iter(c.encode([t for t in part if t is not None]))
-            for t in part:
-                out.append(None if t is None else next(found))
-                same.append(None if t is None else c.decode(out[-1]) == t)
-        return pd.DataFrame({"ids": pd.Series(out, dtype=object), "round_trip": pd.Series(same, dtype=object)})
-
-    return ids(text)
+            own = [None if t is None else next(found) for t in part]
+            sizes += [0 if x is None else len(x) for x in own]
+            same += [None if x is None else c.decode(x) == t for x, t in zip(own, part, strict=True)]
+            values.append(np.concatenate([x for x in own if x is not None] or [np.array([], np.int32)]))
+        ends = pa.array(np.cumsum([0, *sizes]), pa.int32())
+        missing = pa.array([x is None for x in same], pa.bool_())
+        lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(values or [np.array([], np.int32)]), pa.int32()), mask=missing)
+        return pa.StructArray.from_arrays([lists, pa.array(same, pa.bool_())], ["ids", "round_trip"])
+
+    return F.arrow_udf(ids, "ids array<int>, round_trip boolean")(text)
 
 
 def decoded(ids: Column, model: bytes, threads: int = 1) -> Column:
