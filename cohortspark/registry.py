@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-PLANS = ("cohort", "scans", "projections", "joins", "aggregates", "windows", "matching", "representation", "scoring", "inference", "learners", "repair", "spatial", "streams")
+PLANS = ("cohort", "scans", "projections", "joins", "aggregates", "windows", "matching", "representation", "scoring", "inference")
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
