@@ -175,10 +175,13 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_classes
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(text, F.lit("")).cast("binary").alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
     learn = rows.where(~F.col("held_out"))
     counts = durable(token_counts(learn))
-    facts = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    ends = F.sum(F.when(F.octet_length("token") == 0, F.col("c")))
+    facts = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), ends.alias("ends")).first()
     n, v = facts["n"], facts["v"]
     top = counts.orderBy(F.desc("c"), "token").limit(hot).toPandas()
     known = {bytes(t): int(c) for t, c in zip(top["token"], top["c"], strict=True)}
+    if facts["ends"]:
+        known[b""] = facts["ends"]
     words = [w for w in known if w][: n_classes - FIRST]
     classes = {w: i + FIRST for i, w in enumerate(words)}
     in_class = np.array([known.get(b"", 0), 0, *(known[w] for w in words)], dtype=np.float64)
