@@ -112,9 +112,9 @@ def structure_audit(t: Tables) -> DataFrame:
     return a.agg(F.count("*").alias("n_sets"), F.count_if(F.expr("n <> 3 or d <> 3 or p <> 1 or m <> 2")).alias("bad")).join(F.broadcast(reused))
 
 
-@query("ag14_fold_leakage", f"WITH {SETS_SQL} SELECT count(*) FILTER (f > 1) AS units_crossing, count(*) AS n_units FROM (SELECT unit_id, count(DISTINCT set_id % 5) AS f FROM sets GROUP BY 1)")
+@query("ag14_fold_leakage", f"WITH {SETS_SQL} SELECT count(*) FILTER (f > 1) AS units_crossing, count(*) AS n_units FROM (SELECT unit_id, count(DISTINCT set_id // 20 % 5) AS f FROM sets GROUP BY 1)")
 def fold_leakage(t: Tables) -> DataFrame:
-    f = sets(t).groupBy("unit_id").agg(F.count_distinct(F.col("set_id") % 5).alias("f"))
+    f = sets(t).groupBy("unit_id").agg(F.count_distinct(F.floor(F.col("set_id") / 20) % 5).alias("f"))
     return f.agg(F.count_if(F.col("f") > 1).alias("units_crossing"), F.count("*").alias("n_units"))
 
 

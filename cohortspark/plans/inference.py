@@ -142,9 +142,9 @@ def shift_decomposition(t: Tables) -> DataFrame:
     return w(moved, "original").join(F.broadcast(w(p, "residual")))
 
 
-@query("in16_arm_gates", f"WITH {SETSCORE_SQL}, {DRAWS_SQL}, f AS (SELECT set_id % 5 AS fold, avg(one) AS a, avg(two) AS b FROM w GROUP BY 1) SELECT (SELECT count(*) FROM f WHERE b > a) >= 4 AND (SELECT quantile_cont(delta, 0.025) FROM rep) > 0 AS passes, (SELECT count(*) FROM f WHERE b > a) AS wins")
+@query("in16_arm_gates", f"WITH {SETSCORE_SQL}, {DRAWS_SQL}, f AS (SELECT set_id // 20 % 5 AS fold, avg(one) AS a, avg(two) AS b FROM w GROUP BY 1) SELECT (SELECT count(*) FROM f WHERE b > a) >= 4 AND (SELECT quantile_cont(delta, 0.025) FROM rep) > 0 AS passes, (SELECT count(*) FROM f WHERE b > a) AS wins")
 def arm_gates(t: Tables) -> DataFrame:
     o = outcomes(t)
-    f = o.groupBy((F.col("set_id") % 5).alias("fold")).agg(F.avg("one").alias("a"), F.avg("two").alias("b"))
+    f = o.groupBy((F.floor(F.col("set_id") / 20) % 5).alias("fold")).agg(F.avg("one").alias("a"), F.avg("two").alias("b"))
     wins = f.agg(F.count_if(F.col("b") > F.col("a")).alias("wins"))
     return wins.join(F.broadcast(paired_bootstrap(o, "set_id", "one", "two", B))).select(((F.col("wins") >= 4) & F.col("supported")).alias("passes"), "wins")

@@ -61,13 +61,13 @@ def weighted_median(t: Tables) -> DataFrame:
     return M.weighted_median(t.part, "p_size", "p_retailprice")
 
 
-FOLD_WINS_SQL = f"f AS (SELECT set_id % 5 AS fold, avg({STRICT.format(a='raw')}) AS a, avg({STRICT.format(a='ctx')}) AS b FROM setscore GROUP BY 1)"
+FOLD_WINS_SQL = f"f AS (SELECT set_id // 20 % 5 AS fold, avg({STRICT.format(a='raw')}) AS a, avg({STRICT.format(a='ctx')}) AS b FROM setscore GROUP BY 1)"
 
 
 @query("me8_deltas_and_wins", f"WITH {SETSCORE_SQL}, {FOLD_WINS_SQL} SELECT round(avg(b - a), 6) AS mean_delta, count(*) FILTER (b > a) AS fold_wins FROM f")
 def deltas_and_wins(t: Tables) -> DataFrame:
     strict = lambda a: F.avg((F.col(f"{a}_p") > F.greatest(f"{a}_1", f"{a}_2")).cast("int"))
-    f = set_scores(t).groupBy((F.col("set_id") % 5).alias("fold")).agg(strict("raw").alias("a"), strict("ctx").alias("b"))
+    f = set_scores(t).groupBy((F.floor(F.col("set_id") / 20) % 5).alias("fold")).agg(strict("raw").alias("a"), strict("ctx").alias("b"))
     return f.agg(R(F.avg(F.col("b") - F.col("a")), 6).alias("mean_delta"), F.count_if(F.col("b") > F.col("a")).alias("fold_wins"))
 
 
