@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .graph import ranged
+
 
 def draw_position(b: Column, i: Column, n: Column, seed: int) -> Column:
     """Draw i of replicate b among n sets: the first 13 hex digits of an MD5, modulo n. The same in any engine."""
@@ -18,12 +20,12 @@ def draw_counts(sets: DataFrame, key: str, replicates: int, seed: int) -> DataFr
 
     Numbers of the sets come from ranges of the key. Each set makes its own draws for all replicates, so the work is
     replicates x sets rows, added up before the shuffle and dealt by (b, set)."""
-    ranged = sets.select(key).repartitionByRange(key).withColumn("_p", F.spark_partition_id())
+    dealt = ranged(sets.select(key), key)
     own = F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
+    sizes = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per partition
     total = sizes.agg(F.sum("_n").alias("n"))
-    numbered = ranged.withColumn("_i", own).join(F.broadcast(sizes.select("_p", before.alias("_o"))), "_p").select(key, (F.col("_i") + F.col("_o")).alias("i"))
+    numbered = dealt.withColumn("_i", own).join(F.broadcast(sizes.select("_p", before.alias("_o"))), "_p").select(key, (F.col("_i") + F.col("_o")).alias("i"))
     draws = numbered.join(F.broadcast(total)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     hits = draws.select("b", draw_position(F.col("b"), F.col("i"), F.col("n"), seed).alias("i")).groupBy("b", "i").agg(F.count("*").alias("times"))
     return hits.join(numbered, "i").select("b", key, "times")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,11 +21,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 def durable(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it again."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/cohortspark-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ranged(df: DataFrame, *keys: Column | str) -> DataFrame:
+    """df dealt by ranges of the keys, written out with its partition's number _p. Written, as a second evaluation may
+    draw other bounds and AQE may merge partitions, and then numbers and rows of two uses would not agree."""
+    return durable(df.repartitionByRange(*keys).withColumn("_p", F.spark_partition_id()))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node in the edges; root is the smallest node that can be reached.
 

@@ -8,18 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .graph import ranged
+
 
 def running(counts: DataFrame, order: str, cols: Sequence[str], by: Sequence[str] = (), descending: bool = False) -> DataFrame:
     """Adds before_x, the sum of x over rows earlier in order, and all_x. Rows are dealt by ranges of the order, and
     sums of ranges give each its start, so that one task never holds all."""
     key = F.col(order).desc() if descending else F.col(order)
-    ranged = counts.repartitionByRange(*by, key).withColumn("_p", F.spark_partition_id())
-    sums = ranged.groupBy("_p", *by).agg(*[F.sum(c).alias(f"_s_{c}") for c in cols])
+    dealt = ranged(counts, *by, key)
+    sums = dealt.groupBy("_p", *by).agg(*[F.sum(c).alias(f"_s_{c}") for c in cols])
     span = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
     starts = sums.select("_p", *by, *[F.coalesce(F.sum(f"_s_{c}").over(span), F.lit(0.0)).alias(f"_o_{c}") for c in cols], *[F.sum(f"_s_{c}").over(whole).alias(f"all_{c}") for c in cols])
     own = Window.partitionBy("_p", *by).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    out = ranged.withColumns({f"_b_{c}": F.coalesce(F.sum(c).over(own), F.lit(0.0)) for c in cols}).join(F.broadcast(starts), ["_p", *by])
+    out = dealt.withColumns({f"_b_{c}": F.coalesce(F.sum(c).over(own), F.lit(0.0)) for c in cols}).join(F.broadcast(starts), ["_p", *by])
     return out.withColumns({f"before_{c}": F.col(f"_o_{c}") + F.col(f"_b_{c}") for c in cols}).drop("_p", *[f"{x}{c}" for x in ("_b_", "_o_") for c in cols])
 
 

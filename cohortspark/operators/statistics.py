@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .graph import ranged
+
 
 def unbiased_skewness(c: str) -> Column:
     n = F.count(c)
@@ -69,13 +71,13 @@ def cumulative_shares(df: DataFrame, value: str, arm: str) -> DataFrame:
     Values are counted before they are ordered, so the window runs over distinct values, in ranges: sums of ranges
     give each its start."""
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("x")).agg(F.count_if(F.col(arm) == 1).alias("a"), F.count_if(F.col(arm) == 0).alias("b"))
-    ranged = counts.repartitionByRange("x").withColumn("_p", F.spark_partition_id())
-    sums = ranged.groupBy("_p").agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"))
+    dealt = ranged(counts, "x")
+    sums = dealt.groupBy("_p").agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
     starts = sums.select("_p", F.coalesce(F.sum("sa").over(before), F.lit(0)).alias("oa"), F.coalesce(F.sum("sb").over(before), F.lit(0)).alias("ob"))
     total = counts.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
     own = Window.partitionBy("_p").orderBy("x")
-    run = ranged.withColumns({"ra": F.sum("a").over(own), "rb": F.sum("b").over(own)}).join(F.broadcast(starts), "_p").join(F.broadcast(total))
+    run = dealt.withColumns({"ra": F.sum("a").over(own), "rb": F.sum("b").over(own)}).join(F.broadcast(starts), "_p").join(F.broadcast(total))
     return run.select("x", ((F.col("ra") + F.col("oa")) / F.col("na")).alias("f"), ((F.col("rb") + F.col("ob")) / F.col("nb")).alias("g"))
 
 
@@ -85,11 +87,11 @@ def ks(shares: DataFrame) -> DataFrame:
 
 def wasserstein(shares: DataFrame) -> DataFrame:
     """Integral of |F - G|: each distinct value's difference times the gap to the next value."""
-    ranged = shares.repartitionByRange("x").withColumn("_p", F.spark_partition_id())
-    firsts = ranged.groupBy("_p").agg(F.min("x").alias("first"))
+    dealt = ranged(shares, "x")
+    firsts = dealt.groupBy("_p").agg(F.min("x").alias("first"))
     nexts = firsts.select("_p", F.lead("first").over(Window.orderBy("_p")).alias("after"))  # a row per partition
     gap = F.coalesce(F.lead("x").over(Window.partitionBy("_p").orderBy("x")), F.col("after")) - F.col("x")
-    return ranged.join(F.broadcast(nexts), "_p").withColumn("_gap", gap).agg(F.sum(F.abs(F.col("f") - F.col("g")) * F.coalesce("_gap", F.lit(0.0))).alias("w1"))
+    return dealt.join(F.broadcast(nexts), "_p").withColumn("_gap", gap).agg(F.sum(F.abs(F.col("f") - F.col("g")) * F.coalesce("_gap", F.lit(0.0))).alias("w1"))
 
 
 def psi(df: DataFrame, value: str, arm: str, bins: int = 10, clip: float = 1e-6) -> DataFrame:
@@ -111,7 +113,7 @@ def psi(df: DataFrame, value: str, arm: str, bins: int = 10, clip: float = 1e-6)
 def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
     """Ranks from 1 with ties averaged, from counts of distinct values in ranges."""
     counts = df.groupBy(value).agg(F.count("*").alias("_k"))
-    ranged = counts.repartitionByRange(value).withColumn("_p", F.spark_partition_id())
-    starts = ranged.groupBy("_p").agg(F.sum("_k").alias("_s")).select("_p", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-    run = ranged.withColumn("_r", F.sum("_k").over(Window.partitionBy("_p").orderBy(value))).join(F.broadcast(starts), "_p")
+    dealt = ranged(counts, value)
+    starts = dealt.groupBy("_p").agg(F.sum("_k").alias("_s")).select("_p", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    run = dealt.withColumn("_r", F.sum("_k").over(Window.partitionBy("_p").orderBy(value))).join(F.broadcast(starts), "_p")
     return df.join(run.select(value, (F.col("_o") + F.col("_r") - (F.col("_k") - 1) / 2).alias(out)), value)

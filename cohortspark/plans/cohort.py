@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scalars import rounded
 from ..operators.edges import caliper_join, weighted
+from ..operators.graph import ranged
 from ..operators.scaling import robust_apply, robust_params
 from ..registry import Tables, query
 
@@ -172,7 +173,9 @@ def control_ranks(t: Tables) -> DataFrame:
     s = sets(t)
     # Numbers need one global order of the sets; the table of ids alone is sorted, in ranges, and joined back.
     ids = s.select("set_id").distinct()
-    ranges = ids.repartitionByRange("set_id").sortWithinPartitions("set_id").withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    first = ranges.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_first", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = ranges.join(F.broadcast(first), "_p").select("set_id", (F.col("_first") + F.col("_i") + 1).alias("n"))
+    dealt = ranged(ids, "set_id")
+    own = F.row_number().over(Window.partitionBy("_p").orderBy("set_id"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per range
+    first = dealt.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", before.alias("_first"))
+    numbered = dealt.withColumn("_i", own).join(F.broadcast(first), "_p").select("set_id", (F.col("_first") + F.col("_i")).alias("n"))
     return s.join(numbered, "set_id").select(F.format_string("MATCH_%06d", F.col("n")).alias("match_id"), "set_id", "slot", "unit_id")
