@@ -2,31 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    sc = spark.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="cohortspark-")
-        sc.setCheckpointDir(shared)
-    return shared.rstrip("/")
-
+from ..operators.graph import durable, shared_folder  # noqa: F401
 
-def durable(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again: the lineage ends there and survives lost executors."""
-    path = f"{scratch_dir(df.sparkSession)}/cohortspark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def ascii_lower(c: Column) -> Column:
@@ -34,11 +17,6 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def copies_key(*cols: Column) -> Column:
-    """Equal for equal rows; joins rows back without carrying their texts."""
-    return F.struct(*[c.alias(f"k{i}") for i, c in enumerate(cols)])
-
-
 def fits_broadcast(rows: int, row_bytes: int, limit: int = 32 << 20) -> bool:
     return rows * row_bytes <= limit
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.window import Window
 
-from .common import durable
+from ..operators.graph import connected_components, durable
 
 # The generator polynomial of the binary [23,12,7] Golay code, and the widths of the segments.
 GENERATOR, WIDTHS = 0b110001110101, (22, 21, 21)
@@ -112,26 +112,6 @@ def fingerprint_links(distinct_fps: DataFrame, bits: int = 3) -> DataFrame:
     return left.join(right, "key").where(near).select("a", "b").distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node in the edges (a, b); root is the smallest node reachable.
-
-    Alternating large-star and small-star steps (Kiveris et al., 2014) as minima and joins, each round written out;
-    a node's neighbours are never gathered into one row."""
-    edges = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = durable(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
-        state = now
-
-
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 3) -> DataFrame:
     """(doc_id, fp long, component_id, root: the component's smallest fp) of every row.
 

@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortspark.llm import mixing, pii, quality, sentencepiece_codec, simhash
-from cohortspark.llm.common import scratch_dir
+from cohortspark.operators.graph import shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}/{name}"
+        path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
