@@ -49,7 +49,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "ids", "round_trip")
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False).select("doc_id", "n_tokens", "ids", "round_trip")
 
 
 def digest(spans: str) -> Column:

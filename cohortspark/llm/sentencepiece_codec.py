@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 from typing import Any
@@ -13,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructType
 
 # Fixed values of the model format: kinds of model and of pieces, and the mark of a space.
 UNIGRAM, BPE = 1, 2
@@ -88,7 +90,7 @@ class Codec:
     Where no piece spans words, the words of a batch that are not yet in the memo are encoded by one call, which
     shares them among its threads; texts are then put together from the memo. Else whole texts are encoded."""
 
-    MEMO = 150_000  # words held; beyond, the memo starts anew
+    MEMO = 100_000  # words held; beyond, the memo starts anew
 
     def __init__(self, model: bytes, threads: int) -> None:
         os.environ.update(RAYON_NUM_THREADS=str(threads), TOKENIZERS_PARALLELISM="true" if threads > 1 else "false")
@@ -141,24 +143,16 @@ def codec(model: bytes, threads: int) -> Codec:
     return Codec(model, threads)
 
 
-def encoded(text: Column, model: bytes, threads: int = 1) -> Column:
-    """struct(ids array<int>, round_trip): the piece ids, and whether they decode to the text; nulls for a null text."""
-
-    def ids(texts: pa.Array) -> pa.Array:
-        c, sizes, same, values = codec(model, threads), [], [], []
-        for at in range(0, len(texts), 256):
-            part = texts.slice(at, 256).to_pylist()
-            found = iter(c.encode([t for t in part if t is not None]))
-            own = [None if t is None else next(found) for t in part]
-            sizes += [0 if x is None else len(x) for x in own]
-            same += [None if x is None else c.decode(x) == t for x, t in zip(own, part, strict=True)]
-            values.append(np.concatenate([x for x in own if x is not None] or [np.array([], np.int32)]))
-        ends = pa.array(np.cumsum([0, *sizes]), pa.int32())
-        missing = pa.array([x is None for x in same], pa.bool_())
-        lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(values or [np.array([], np.int32)]), pa.int32()), mask=missing)
-        return pa.StructArray.from_arrays([lists, pa.array(same, pa.bool_())], ["ids", "round_trip"])
-
-    return F.arrow_udf(ids, "ids array<int>, round_trip boolean")(text)
+def encoded_part(texts: list[str | None], c: Codec) -> list[pa.Array]:
+    """The columns ids, round_trip and n_tokens of some texts; nulls and 0 for a null text."""
+    found = iter(c.encode([t for t in texts if t is not None]))
+    own = [None if t is None else next(found) for t in texts]
+    ends = np.cumsum([0, *(0 if x is None else len(x) for x in own)], dtype=np.int32)
+    values = np.concatenate([x for x in own if x is not None] or [np.array([], np.int32)])
+    missing = pa.array([x is None for x in own], pa.bool_())
+    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=missing)
+    same = [None if x is None else c.decode(x) == t for x, t in zip(own, texts, strict=True)]
+    return [ids, pa.array(same, pa.bool_()), pa.array(np.diff(ends).astype(np.int64))]
 
 
 def decoded(ids: Column, model: bytes, threads: int = 1) -> Column:
@@ -172,14 +166,25 @@ def decoded(ids: Column, model: bytes, threads: int = 1) -> Column:
     return texts(ids)
 
 
-def encode(docs: DataFrame, text: str = "text", model: bytes | None = None, threads: int = 2) -> DataFrame:
-    """Adds ids, n_tokens and round_trip, whether the ids decode to the text again.
+def encode(docs: DataFrame, text: str = "text", model: bytes | None = None, threads: int = 2, keep_text: bool = True, rows: int = 256) -> DataFrame:
+    """Adds ids, round_trip, whether the ids decode to the text again, and n_tokens; text goes if keep_text is false.
 
-    Whole texts are encoded, `threads` at a time in each worker. Null texts have null ids and round_trip and 0
-    tokens; empty ones have no ids; repeated rows are encoded alike; an empty table gives an empty one; columns with
-    the added names are replaced. round_trip is false where the model's normaliser changes a text or it holds the
-    space mark itself."""
+    Whole texts are encoded, `threads` at a time in each worker, and come back `rows` at a time, so that no worker
+    holds the ids of a whole Arrow batch. Null texts have null ids and round_trip and 0 tokens; empty ones have no
+    ids; repeated rows are encoded alike; an empty table gives an empty one; columns with the added names are
+    replaced. round_trip is false where the model's normaliser changes a text or it holds the space mark itself."""
     model = default_model() if model is None else model
-    out = docs.drop("ids", "n_tokens", "round_trip").withColumn("_e", encoded(F.col(text), model, threads))
-    out = out.withColumns({"ids": F.col("_e.ids"), "round_trip": F.col("_e.round_trip")}).drop("_e")
-    return out.withColumn("n_tokens", F.when(F.col("ids").isNull(), 0).otherwise(F.size("ids")).cast("long"))
+    docs = docs.drop("ids", "n_tokens", "round_trip")
+    kept = docs if keep_text else docs.drop(text)
+    names = kept.columns
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(model, threads)
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                part = b.slice(at, rows)
+                columns = [part.column(part.schema.get_field_index(n)) for n in names]
+                yield pa.RecordBatch.from_arrays([*columns, *encoded_part(part.column(part.schema.get_field_index(text)).to_pylist(), c)], [*names, "ids", "round_trip", "n_tokens"])
+
+    schema = StructType(list(kept.schema.fields)).add("ids", ArrayType(IntegerType())).add("round_trip", BooleanType()).add("n_tokens", LongType())
+    return docs.mapInArrow(work, schema)

@@ -35,7 +35,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text."""
-    return sentencepiece_codec.encode(docs).select("doc_id", "source", "lang", "n_tokens", "ids", "round_trip")
+    return sentencepiece_codec.encode(docs, keep_text=False).select("doc_id", "source", "lang", "n_tokens", "ids", "round_trip")
 
 
 STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("personal_data", personal_data), ("mixture", mixture), ("tokens", tokens)]
