@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import durable
 
@@ -178,7 +179,11 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_classes
     ends = F.sum(F.when(F.octet_length("token") == 0, F.col("c")))
     facts = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), ends.alias("ends")).first()
     n, v = facts["n"], facts["v"]
-    top = counts.orderBy(F.desc("c"), "token").limit(hot).toPandas()
+    # The least count above which there are `hot` tokens at most, from the few different counts; so the driver gets
+    # `hot` rows at most, where a sorted limit would send it as many from every task.
+    upto = F.sum("n").over(Window.orderBy(F.desc("c")))
+    cut = counts.groupBy("c").agg(F.count("*").alias("n")).withColumn("upto", upto).where(F.col("upto") <= hot).agg(F.min("c")).first()[0]
+    top = counts.where(F.col("c") >= F.lit(cut)).toPandas().sort_values(["c", "token"], ascending=[False, True])
     known = {bytes(t): int(c) for t, c in zip(top["token"], top["c"], strict=True)}
     if facts["ends"]:
         known[b""] = facts["ends"]
