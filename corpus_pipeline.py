@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortspark.llm import mixing, pii, quality, sentencepiece_codec, simhash
+from cohortspark.llm import alike, mixing, pii, quality, sentencepiece_codec
 from cohortspark.operators.graph import shared_folder
 
 
@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest doc_id."""
-    return simhash.keep_one(docs).select(docs.columns)
+    """One document, that with the smallest doc_id, of each group linked by a Jaccard similarity of 0.8 of 5-word shingles."""
+    return alike.keep_one(docs, size=5, least=0.8).select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,3 +57,37 @@ def test_run_and_empty_table(spark, sf_dir, tmp_path):
     assert out.columns == ["doc_id", "source", "lang", "n_tokens", "ids", "round_trip"] and out.count() > 0
     spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_links_copies_from_0_8(spark):
+    """Copies with substituted words, 5-word similarities on both sides of 0.8, against all pairs; a chain; equal ids."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(50_000)}"
+    texts = []
+    for base in range(60):
+        ws = [word() for _ in range(rng.randint(100, 400))]
+        texts.append(ws)
+        for _ in range(3):
+            copy = list(ws)
+            for at in rng.sample(range(len(ws)), max(1, round(len(ws) * rng.choice((0.003, 0.01, 0.018, 0.022, 0.03))))):
+                copy[at] = word()
+            texts.append(copy)
+            if base % 4 == 0:
+                ws = copy  # copies of copies: linked through one another only
+    texts += [["one", "two"], ["One", "TWO"], ["one", "three"], [], []]
+    ids = [1000 - i for i in range(len(texts))]
+    ids[7] = ids[100]  # equal ids, different texts: both groups keep a row
+    sets = [{tuple(w.lower() for w in t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    root = list(range(len(texts)))
+    sims = []
+    for i in range(len(texts)):
+        for j in range(i):
+            s = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            sims.append(s)
+            if s >= 0.8:
+                a, b = root[i], root[j]
+                root = [a if r == b else r for r in root]
+    assert sum(0.8 <= s < 0.95 for s in sims) > 50 and sum(0.6 < s < 0.8 for s in sims) > 20
+    want = sorted(min(ids[i] for i in range(len(texts)) if root[i] == r) for r in set(root))
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == want
