@@ -11,12 +11,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pyspark.sql.window import Window
-
 from ..operators.graph import connected_components, durable
+from ..operators.skew import split_join
 
-# The generator polynomial of the binary [23,12,7] Golay code, and the widths of the segments.
-GENERATOR, WIDTHS = 0b110001110101, (22, 21, 21)
+# The generator polynomial of the binary [23,12,7] Golay code, and the widths of three and of four segments.
+GENERATOR, WIDTHS = 0b110001110101, {3: (22, 21, 21), 4: (16, 16, 16, 16)}
+# From so many different fingerprints on, keys of 40 bits are taken in place of 24.
+WIDE = 1 << 22
 CHUNK = 1 << 15
 
 
@@ -67,49 +68,75 @@ def decode(v: np.ndarray) -> np.ndarray:
     return (v ^ errors[low[v & 4095] ^ high[v >> 12]]) >> 11
 
 
-def segments(fps: np.ndarray) -> list[np.ndarray]:
+def segments(fps: np.ndarray, parts: int = 3) -> list[np.ndarray]:
     u, out, at = fps.view(np.uint64), [], 0
-    for width in WIDTHS:
+    for width in WIDTHS[parts]:
         out.append(((u >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64))
         at += width
     return out
 
 
-def fuzzy_keys(fps: np.ndarray, side: int) -> list[np.ndarray]:
+def fuzzy_keys(fps: np.ndarray, side: int, parts: int = 3) -> list[np.ndarray]:
     """Keys of each fingerprint on one side of the join.
 
-    Three segments share 3 errors at most, so two of them have one error at most each. A segment's ball are the
-    codeword indices of all vectors within one bit of it: 1 or 6. If two vectors differ in one bit at most, either's
-    own index is in the other's ball. Side 0 emits ball x own index for each pair of segments, side 1 own x ball,
-    so two fingerprints within 3 bits share a key whichever side each is taken from."""
+    A segment's ball are the codeword indices of all vectors within one bit of it: 1 or 6. If two vectors differ in one
+    bit at most, either's own index is in the other's ball. So for a pair of segments, side 0 emits ball x own index
+    and side 1 own x ball, and both sides meet where each segment holds one error at most.
+
+    With three segments, 3 errors leave some two of them with one error at most each: three kinds of keys of 24 bits.
+    With four, three segments hold 2 errors at most, one of them none: twelve kinds of 40 bits (the errorless segment
+    as it is), so that far fewer strangers meet. Two fingerprints within 3 bits share a key whichever side each is
+    taken from, for either number of segments."""
+    raw = segments(fps, parts)
     own, ball = [], []
-    for s, width in zip(segments(fps), WIDTHS):
+    for s, width in zip(raw, WIDTHS[parts], strict=True):
         own.append(decode(s))
         ball.append(np.sort(np.stack([own[-1], *(decode(s ^ (1 << b)) for b in range(width))], axis=1), axis=1))
     fresh = [np.concatenate([np.ones((len(fps), 1), bool), b[:, 1:] != b[:, :-1]], axis=1) for b in ball]
+    kinds = [(a, b, c) for a, b in combinations(range(parts), 2) for c in (range(parts) if parts == 4 else [None]) if c not in (a, b)]
     out = []
-    for k, (a, b) in enumerate(combinations(range(len(WIDTHS)), 2)):
-        out.append(np.where(fresh[a], k << 24 | ball[a] << 12 | own[b][:, None], -1) if side == 0 else np.where(fresh[b], k << 24 | own[a][:, None] << 12 | ball[b], -1))
+    for k, (a, b, c) in enumerate(kinds):
+        head = np.full(len(fps), k, dtype=np.int64) if c is None else k << 16 | raw[c]
+        wide, narrow = (a, b) if side == 0 else (b, a)
+        out.append(np.where(fresh[wide], (head << 24 | own[narrow] << 12)[:, None] | ball[wide], -1) if side == 0 else np.where(fresh[wide], (head << 24)[:, None] | ball[wide] << 12 | own[narrow][:, None], -1))
     keys = np.concatenate(out, axis=1)
     return [row[row >= 0] for row in keys]
 
 
-def keys_column(fp: str, side: int) -> Column:
+def keys_column(fp: str, side: int, parts: int) -> Column:
     @F.pandas_udf("array<long>")
     def keys(fps: pd.Series) -> pd.Series:
-        return pd.Series(fuzzy_keys(fps.to_numpy(dtype=np.int64), side))
+        return pd.Series(fuzzy_keys(fps.to_numpy(dtype=np.int64), side, parts))
 
     return keys(F.col(fp))
 
 
-def fingerprint_links(distinct_fps: DataFrame, bits: int = 3) -> DataFrame:
-    """Pairs (a, b), a < b, of the distinct longs in column fp that differ in at most `bits` bits (3 at most)."""
+def neighbour_links(grouped: DataFrame, bits: int = 3, wide: int = WIDE) -> DataFrame:
+    """(b, a): for each root b of grouped (fp, root), the smallest other root a with a fingerprint within `bits` bits
+    of one of b's. At most one row per root, brought down before the shuffle, however many pairs are near."""
     if not 0 <= bits <= 3:
         raise ValueError("the keys cover 0 to 3 differing bits")
-    left = distinct_fps.select(F.col("fp").alias("a"), F.explode(keys_column("fp", 0)).alias("key"))
-    right = distinct_fps.select(F.col("fp").alias("b"), F.explode(keys_column("fp", 1)).alias("key"))
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
-    return left.join(right, "key").where(near).select("a", "b").distinct()
+    parts = 4 if grouped.count() >= wide else 3
+    left = grouped.select(F.col("fp").alias("a"), F.col("root").alias("ra"), F.explode(keys_column("fp", 0, parts)).alias("key"))
+    right = grouped.select(F.col("fp").alias("b"), F.col("root").alias("rb"), F.explode(keys_column("fp", 1, parts)).alias("key"))
+    near = (F.col("ra") != F.col("rb")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
+    return left.join(right, "key").where(near).groupBy(F.col("rb").alias("b")).agg(F.min("ra").alias("a"))
+
+
+def fingerprint_groups(distinct_fps: DataFrame, bits: int = 3, wide: int = WIDE) -> DataFrame:
+    """(fp, root) of the distinct longs in column fp: groups linked at `bits` differing bits (3 at most), root a
+    group's smallest fp.
+
+    Pairs are not put out: in a round each group is linked to the smallest of its neighbours (neighbour_links), and
+    linked groups become one, until no neighbours are apart. Of `wide` fingerprints or more the longer keys are taken,
+    which give the same links with fewer strangers per key."""
+    grouped = durable(distinct_fps.select("fp", F.col("fp").alias("root")))
+    while True:
+        links = durable(neighbour_links(grouped, bits, wide))
+        if links.isEmpty():
+            return grouped
+        moved = connected_components(links).select(F.col("node").alias("root"), F.col("root").alias("to"))
+        grouped = durable(split_join(grouped, moved, "root", "left").select("fp", F.coalesce("to", "root").alias("root")))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 3) -> DataFrame:
@@ -118,23 +145,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Rows with equal fingerprints are one node of the graph, so copies are never paired. component_id is the smallest
     doc_id reachable; null ids are passed over, and a component of null ids alone has a null id. Null, empty and
     wordless texts have fingerprint 0 and are linked like any other; repeated rows are kept; an empty table gives an
-    empty one. Other columns of docs are not read."""
+    empty one. Other columns of docs are not read.
+
+    Ids are brought down to one per fingerprint and then one per component before anything is joined; a component is
+    joined to its fingerprints and a fingerprint to its rows with the hot ones apart."""
     fps = durable(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text)).alias("fp")))
-    roots = connected_components(fingerprint_links(fps.select("fp").distinct(), bits))
-    rooted = durable(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(least, "root").select("doc_id", "fp", "component_id", "root")
-
-
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 3) -> DataFrame:
-    """One row of each component: that of the smallest doc_id, and of several rows with this id the least by all
-    columns. A component whose ids are all null keeps its least row. Null texts count as empty."""
-    found = near_duplicates(docs, doc_id, text, bits)
-    order = [F.col(c) for c, kind in docs.dtypes if not kind.startswith("map")]
-    ids = found.where("component_id is not null").select(F.col("component_id").alias("_id")).distinct()
-    named = docs.join(ids, docs[doc_id] == ids["_id"], "left_semi")
-    named = named.withColumn("_n", F.row_number().over(Window.partitionBy(doc_id).orderBy(*order)))
-    roots = found.where("component_id is null").select(F.col("fp").alias("_fp"), F.col("root").alias("_root")).distinct()
-    nameless = docs.where(F.col(doc_id).isNull()).withColumn("_fp", fingerprints(F.col(text))).join(roots, "_fp")
-    nameless = nameless.withColumn("_n", F.row_number().over(Window.partitionBy("_root").orderBy(*order)))
-    return named.where("_n = 1").drop("_n").unionByName(nameless.where("_n = 1").drop("_n", "_fp", "_root"))
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes = durable(fingerprint_groups(least.select("fp"), bits).join(least, "fp"))
+    named = durable(split_join(nodes.select("fp", "root"), nodes.groupBy("root").agg(F.min("least").alias("component_id")), "root"))
+    return split_join(fps, named, "fp").select("doc_id", "fp", "component_id", "root")

@@ -37,6 +37,10 @@ def make_texts() -> list[tuple]:
 TEXTS = make_texts()
 
 
+def prose_of(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     df = spark.createDataFrame([(d, t, ["en", "de", None][i % 3], f"src{i % 7}") for i, (d, t) in enumerate(TEXTS)], "doc_id long, text string, lang string, source string")
@@ -133,23 +137,42 @@ def test_golay_keys_meet():
         flips = [sum(1 << int(bit) for bit in rng.choice(64, n, replace=False)) for _ in a]
         b = (a.view(np.uint64) ^ np.array(flips, dtype=np.uint64)).view(np.int64)
         for x, y in ((a, b), (b, a)):
-            assert all(set(p) & set(q) for p, q in zip(simhash.fuzzy_keys(x, 0), simhash.fuzzy_keys(y, 1), strict=True))
-
-
-def test_keep_one(docs):
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
-    fps = {d: c for d, c in components([(d, plain_fingerprint(t)) for d, t in TEXTS])}
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(fps.values()) - {None})
-    assert sum(r.doc_id is None for r in kept.collect()) == 1  # the id-less text that is no copy of another
-    assert simhash.keep_one(docs.limit(0)).count() == 0
-
-
-def test_long_chain_of_fingerprints(spark):
+            for parts in (3, 4):
+                assert all(set(p) & set(q) for p, q in zip(simhash.fuzzy_keys(x, 0, parts), simhash.fuzzy_keys(y, 1, parts), strict=True))
+
+
+def test_hot_fingerprints(spark):
+    """Copies hold most rows, a component holds many fingerprints: both go by the split join."""
+    rng = random.Random(4)
+    base = prose_of(rng, 400).split()
+    texts = [" ".join(base)] * 700 + [None] * 400
+    for i in range(500):
+        copy = list(base)
+        copy[rng.randrange(len(copy))] = f"new{i}"
+        texts.append(" ".join(copy))
+    texts += [prose_of(rng, 30) for _ in range(50)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
+    want = components([(i, p) for i, p in enumerate(map(plain_fingerprint, texts))][:1] + [(i, plain_fingerprint(t)) for i, t in enumerate(texts) if i >= 1100])
+    assert len(got) == len(texts) and {got[i] for i in range(700)} == {0} and {got[i] for i in range(700, 1100)} == {700}
+    assert {d: got[d] for d, _ in want} == dict(want)
+
+
+@pytest.mark.parametrize("wide", [1, 1 << 22])
+def test_long_chain_of_fingerprints(spark, wide):
     chain = [sum(1 << b for b in range(k)) for k in range(0, 60, 3)]
-    df = spark.createDataFrame([(c,) for c in chain], "fp long")
-    roots = simhash.connected_components(simhash.fingerprint_links(df)).collect()
-    assert {r.root for r in roots} == {0} and len(roots) == len(chain)
+    apart = [(1 << 63) + sum(1 << b for b in range(k)) - (1 << 64) for k in range(0, 60, 7)]
+    df = spark.createDataFrame([(c,) for c in chain + apart], "fp long")
+    got = {r.fp: r.root for r in simhash.fingerprint_groups(df, wide=wide).collect()}
+    edges = {x: [y for y in chain + apart if bin((x ^ y) % 2**64).count("1") <= 3] for x in chain + apart}
+
+    def reach(x):
+        seen, todo = {x}, [x]
+        while todo:
+            todo += [y for y in edges[todo.pop()] if y not in seen and not seen.add(y)]
+        return min(seen)
+
+    assert got == {x: reach(x) for x in edges}
 
 
 # 3

@@ -6,9 +6,22 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cohortspark.llm import quality, sentencepiece_codec
+from cohortspark.llm import alike, quality, sentencepiece_codec
 
-from .test_operators import WORDS, components, plain_fingerprint, plain_spans
+from .test_operators import WORDS, plain_spans
+
+
+def similar_groups(texts, least=0.8):
+    """For each text the first of its group: texts connected by a Jaccard similarity of 5-word shingles, all pairs."""
+    split = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in split]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
 
 
 @pytest.fixture(scope="module")
@@ -33,8 +46,10 @@ def test_pipeline(spark, sf_dir):
     assert kept.columns == docs.columns
 
     one = corpus_pipeline.near_dedup(spark, kept, sf_dir).cache()
-    groups = {c for _, c in components([(r.doc_id, plain_fingerprint(r.text)) for r in kept.collect()])}
-    assert sorted(r.doc_id for r in one.collect()) == sorted(groups)
+    rows = sorted(kept.collect(), key=lambda r: (r.doc_id, r.text))
+    first = {g: min((rows[i].doc_id for i, r in enumerate(similar_groups([r.text for r in rows])) if r == g)) for g in set(similar_groups([r.text for r in rows]))}
+    assert sorted(r.doc_id for r in one.collect()) == sorted(first.values())
+    assert {r.text for r in one.collect()} <= {r.text for r in rows}
 
     clean = corpus_pipeline.personal_data(spark, one, sf_dir).cache()
     before = {r.doc_id: r.text for r in one.collect()}
@@ -59,6 +74,18 @@ def test_run_and_empty_table(spark, sf_dir, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_near_dedup_keeps_texts_that_share_an_id(spark):
+    """Unrelated texts with one id stay, each group keeps one row, and no group loses its only row."""
+    rng = random.Random(2)
+    prose = [" ".join(f"v{rng.randrange(9999)}" for _ in range(60)) for _ in range(6)]
+    given = [(7, prose[0]), (7, prose[1]), (205, prose[2]), (205, prose[3]), (3, prose[3]), (None, prose[4]), (None, prose[4]), (None, prose[5]), (8, prose[5]), (9, None), (10, ""), (9, None)]
+    df = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    want = [(7, prose[0]), (7, prose[1]), (205, prose[2]), (3, prose[3]), (None, prose[4]), (8, prose[5]), (9, None)]
+    got = [(r.doc_id, r.text) for r in alike.keep_one(df.selectExpr("doc_id", "text", "1 AS fp", "map('a', 1) AS m")).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert alike.keep_one(df.limit(0)).count() == 0
+
+
 def test_near_dedup_links_copies_from_0_8(spark):
     """Copies with substituted words, 5-word similarities on both sides of 0.8, against all pairs; a chain; equal ids."""
     rng = random.Random(11)
