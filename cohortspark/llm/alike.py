@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.graph import connected_components, durable
+from .common import own_names
 from .simhash import neighbour_links
 
 # Bands of ROWS minima each: a pair of similarity 0.8 shares none of 32 bands of 5 with probability 3e-6.
@@ -150,6 +151,7 @@ def links(rows: DataFrame, text: str, size: int, least: float) -> DataFrame:
     return found.union(verified(rest))
 
 
+@own_names
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
     """One row of each group of texts connected by a Jaccard similarity of `least` or more of their `size`-word
     shingles: that of the smallest doc_id (null after all others), and of several rows with this id the least by a hash

@@ -19,7 +19,7 @@ jumps(doc_id, b, j, k) AS (
 placed AS (SELECT doc_id, max(b) FILTER (b < {SHARDS}) AS shard, max(b) AS grown_shard FROM jumps GROUP BY doc_id),
 docs AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size, xor({CRC}, 4294967295) AS text_crc32 FROM documents, crc)
 SELECT d.doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard,
-  (row_number() OVER (PARTITION BY shard ORDER BY substr(md5(coalesce(d.doc_id::VARCHAR, '')), 1, 2), d.doc_id, text_crc32, size) - 1)::BIGINT AS slot, grown_shard::INTEGER AS grown_shard
+  (row_number() OVER (PARTITION BY shard ORDER BY md5(coalesce(d.doc_id::VARCHAR, '') || ':' || text_crc32 || ':' || size), d.doc_id, text_crc32, size) - 1)::BIGINT AS slot, grown_shard::INTEGER AS grown_shard
 FROM docs d JOIN placed p ON d.doc_id IS NOT DISTINCT FROM p.doc_id
 """
 

@@ -66,7 +66,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = quality.metrics(quality.judge(docs))
+    found = quality.judge(docs, counts=True)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return found.select("doc_id", *quality.METRICS, failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"))
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
+from .common import fits_broadcast, own_names
+
 # Fixed values of the published function: the multiplier of its generator, and 2 to the 64th.
 MULTIPLIER, WORD = "2862933555777941757", "18446744073709551616"
 
@@ -42,23 +46,27 @@ def jump(key: Column, shards: int) -> Column:
     return F.transform(F.array(end), lambda s: F.struct(s["shard"].cast("int").alias("shard"), s["grown"].cast("int").alias("grown")))[0]
 
 
-def assign_shards(df: DataFrame, key: str, shards: int, order: list[Column] | None = None, block_digits: int = 2) -> DataFrame:
+@own_names
+def assign_shards(df: DataFrame, key: str, shards: int, order: list[Column] | None = None, block_rows: int = 10_000) -> DataFrame:
     """Adds shard, grown_shard (with one shard more) and slot, the row's place in its shard, gapless from 0.
 
-    Slots are numbered in two levels: each shard is cut into 16 ** block_digits blocks by the key's MD5, a table of
-    shards x blocks counts gives each block its first slot, and rows are numbered in their block by key and `order`.
-    So no task holds a whole shard. A null key counts as 0, rows with equal keys share a shard and rows equal in all
-    of `order` take its slots in any order. An empty table gives an empty table. Columns shard, grown_shard and slot
-    of the input are replaced."""
-    df = df.drop("shard", "grown_shard", "slot")
-    placed = jump(hash_key(df, key), shards)
-    block = F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, block_digits)
-    keyed = df.withColumn("_jump", placed).withColumns({"shard": F.col("_jump.shard"), "grown_shard": F.col("_jump.grown"), "_block": block}).drop("_jump")
-    counts = df.select(key).withColumns({"shard": placed["shard"], "_block": block}).groupBy("shard", "_block").agg(F.count("*").alias("_n"))
+    Rows of a shard are ordered by the MD5 of key and `order`, then by these. Slots are numbered in two levels: each
+    shard is cut into blocks by the first digits of that MD5, as many as leave about `block_rows` rows in each, a table
+    of block counts gives each block its first slot, and rows are numbered in their block. So no task holds a whole
+    shard, nor all rows of a repeated key that differ in `order`. A null key counts as 0, rows with equal keys share a
+    shard and rows equal in all of `order` take its slots in any order. An empty table gives an empty table. Columns
+    shard, grown_shard and slot of the input are replaced, all others are carried along, whatever their names."""
+    df = df.drop(*[c for c in ("shard", "grown_shard", "slot") if c != key])
+    digits = max(1, ceil(log(max(1, df.count() / shards / block_rows), 16)))
+    parts = [F.coalesce(c.cast("string"), F.lit("")) for c in (F.col(key), *(order or []))]
+    hashed = F.md5(F.concat_ws(":", *parts).cast("binary"))
+    keyed = df.withColumn("_jump", jump(hash_key(df, key), shards)).withColumns({"shard": F.col("_jump.shard"), "grown_shard": F.col("_jump.grown"), "_hash": hashed}).drop("_jump")
+    keyed = keyed.withColumn("_block", F.substring("_hash", 1, digits))
+    counts = keyed.groupBy("shard", "_block").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("shard", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    # At most shards * 16 ** block_digits rows, whatever the input.
-    if shards * 16**block_digits <= 1 << 20:
+    # At most shards * 16 ** digits rows: one for some block_rows / 16 rows or more.
+    if fits_broadcast(shards * 16**digits, 64):
         firsts = F.broadcast(firsts)
-    inside = Window.partitionBy("shard", "_block").orderBy(F.col(key), *(order or []))
-    return keyed.join(firsts, ["shard", "_block"]).withColumn("slot", F.col("_first") + F.row_number().over(inside) - 1).drop("_block", "_first")
+    inside = Window.partitionBy("shard", "_block").orderBy("_hash", F.col(key), *(order or []))
+    return keyed.join(firsts, ["shard", "_block"]).withColumn("slot", F.col("_first") + F.row_number().over(inside) - 1).drop("_block", "_first", "_hash")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, fits_broadcast
+from .common import ascii_lower, durable, fits_broadcast, own_names
 
 # The rules of the contract; each fits a host with its subdomains and a prefix of the path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -51,17 +51,18 @@ def default_list(spark: SparkSession) -> DataFrame:
 
 def _block_and_bits(c: Column, blocks: int) -> tuple[Column, list[Column]]:
     """The block of a URL by one hash, and one bit in each of its words by slices of another."""
-    other = F.xxhash64(c, F.lit(1))
+    other = F.xxhash64(F.lit(1), c)  # the literal first: else the second hash would follow from the first
     return F.pmod(F.xxhash64(c), F.lit(blocks)), [F.shiftrightunsigned(other, 6 * i).bitwiseAND(WORD_BITS - 1).cast("int") for i in range(WORDS)]
 
 
 def bloom_blocks(listed: DataFrame, blocks: int) -> DataFrame:
-    """Blocks of 512 bits (block, w0..w7) of the canonical URLs in column `canonical`; unset blocks have no row."""
-    block, bits = _block_and_bits(F.col("canonical"), blocks)
-    marks = listed.select(block.alias("block"), *[F.call_function("shiftleft", F.lit(1).cast("long"), b).alias(f"b{i}") for i, b in enumerate(bits)])
-    return marks.groupBy("block").agg(*[F.bit_or(f"b{i}").alias(f"w{i}") for i in range(WORDS)])
+    """Blocks of 512 bits (_block, _w0.._w7) of the canonical URLs in column `_name`; unset blocks have no row."""
+    block, bits = _block_and_bits(F.col("_name"), blocks)
+    marks = listed.select(block.alias("_block"), *[F.call_function("shiftleft", F.lit(1).cast("long"), b).alias(f"b{i}") for i, b in enumerate(bits)])
+    return marks.groupBy("_block").agg(*[F.bit_or(f"b{i}").alias(f"_w{i}") for i in range(WORDS)])
 
 
+@own_names
 def filter_urls(pages: DataFrame, url: str, listed: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, bits_per_url: int = 16) -> DataFrame:
     """Adds host, path, rule, verdict, listed and bloom_hit to pages.
 
@@ -69,27 +70,38 @@ def filter_urls(pages: DataFrame, url: str, listed: DataFrame, rules: tuple[tupl
     (column url): the Bloom filter lets through every listed URL and few others, and only these go on to the exact
     hash join. Null URLs and such without :// have empty host and path, fit no rule and are allowed. Repeated pages
     are judged alike, nulls in `listed` are passed over, an empty list blocks nothing, an empty table gives an empty
-    one; columns of pages with one of the added names are replaced."""
+    one; columns of pages with one of the added names are replaced, all others are carried along, whatever their names.
+
+    Filter and list are broadcast where their sizes, which follow from the list's count, are within the limit; pages are
+    then read once and not shuffled. Beyond it only pages with something to look up are shuffled."""
     added = ["host", "path", "rule", "verdict", "listed", "bloom_hit"]
-    names = listed.select(canonical(F.col("url")).alias("canonical")).where("canonical is not null").distinct()
-    n = names.count()
+    names = durable(listed.select(canonical(F.col("url")).alias("_name")).where("_name is not null").distinct())
+    n, size = names.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("_name") + 64), F.lit(0))).first()
     blocks = max(1, -(-n * bits_per_url // (WORDS * WORD_BITS)))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     df = pages.drop(*[c for c in added if c != url])
-    df = df.withColumns({"_canonical": canonical(F.col(url)), "host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    df = df.withColumns({"rule": rule, "_said": verdict})
+    df = df.withColumns({"_canonical": canonical(F.col(url)), "_host": host_of(F.col(url)), "_path": path_of(F.col(url))})
+    df = df.drop(*added).withColumnsRenamed({"_host": "host", "_path": "path"}).withColumns({"rule": rule, "_said": verdict})
     block, bits = _block_and_bits(F.col("_canonical"), blocks)
-    table = bloom_blocks(names, blocks)
-    # The filter's size follows from the list's count; a filter beyond the limit is joined by block instead.
-    table = F.broadcast(table) if fits_broadcast(blocks, ROW_BYTES) else table
     asked = df.withColumns({"_block": F.when(F.col("rule").isNull() & F.col("_canonical").isNotNull(), block), **{f"_b{i}": b for i, b in enumerate(bits)}})
-    tested = asked.join(table.withColumnRenamed("block", "_block"), "_block", "left")
     hit = F.lit(True)
     for i in range(WORDS):
-        hit = hit & (F.expr(f"shiftrightunsigned(w{i}, _b{i}) & 1") == 1)
-    tested = tested.withColumn("bloom_hit", F.coalesce(hit, F.lit(False))).drop("_block", *[f"_b{i}" for i in range(WORDS)], *[f"w{i}" for i in range(WORDS)])
-    names = names.select(F.col("canonical").alias("_canonical"), F.lit(True).alias("listed"))
-    missed = tested.where(~F.col("bloom_hit")).withColumn("listed", F.lit(False))
-    found = tested.where("bloom_hit").join(names, "_canonical", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
-    out = missed.unionByName(found)
-    return out.withColumn("verdict", F.coalesce("_said", F.when(F.col("listed"), "block").otherwise("allow"))).drop("_canonical", "_said")
+        hit = hit & (F.expr(f"shiftrightunsigned(_w{i}, _b{i}) & 1") == 1)
+    table = bloom_blocks(names, blocks)
+    names = names.withColumn("listed", F.lit(True))
+
+    def tested(df: DataFrame, table: DataFrame) -> DataFrame:
+        return df.join(table, "_block", "left").withColumn("bloom_hit", F.coalesce(hit, F.lit(False)))
+
+    if fits_broadcast(blocks, ROW_BYTES) and fits_broadcast(size, 1):
+        told = tested(asked, F.broadcast(table))
+        out = told.join(F.broadcast(names), F.when(F.col("bloom_hit"), F.col("_canonical")) == F.col("_name"), "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    else:
+        told = tested(asked.where("_block is not null"), F.broadcast(table) if fits_broadcast(blocks, ROW_BYTES) else table)
+        idle = asked.where("_block is null").withColumns({"bloom_hit": F.lit(False), "listed": F.lit(False)})
+        missed = told.where(~F.col("bloom_hit")).withColumn("listed", F.lit(False))
+        found = told.where("bloom_hit").join(names, F.col("_canonical") == F.col("_name"), "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+        out = idle.unionByName(missed, allowMissingColumns=True).unionByName(found, allowMissingColumns=True)
+    out = out.withColumn("verdict", F.coalesce("_said", F.when(F.col("listed"), "block").otherwise("allow")))
+    kept = [c for c in pages.columns if c not in added]
+    return out.select(*kept, *added)

@@ -40,7 +40,7 @@ def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = corpus_pipeline.quality_rules(spark, docs, sf_dir).cache()
     rules = quality.default_rules()
-    good = lambda t: not any(r.test(t or "", quality.words_of(t or "")) for r in rules)
+    good = lambda t: not any(r.test(quality.Facts(t)) for r in rules)
     key = lambda r: (r.doc_id, r.text)
     assert sorted(map(key, kept.collect())) == sorted(key(r) for r in docs.collect() if good(r.text))
     assert kept.columns == docs.columns
