@@ -45,7 +45,7 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "domain", "language", "source_leaf", "tokens", "epoch")
+    return mixing.mix(table(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc_id", "domain", "language", "source_leaf", "tokens", "epoch")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

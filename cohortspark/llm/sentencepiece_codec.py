@@ -117,6 +117,17 @@ class Codec:
         known = self.memo.__getitem__
         return [np.array(list(chain.from_iterable(map(known, words))), dtype=np.int32) for words in split]
 
+    def counts(self, texts: list[str]) -> list[int]:
+        """Numbers of ids only; of words that occur more than once, the memo's length is taken."""
+        if not self.by_word:
+            return [len(e.ids) if t else 0 for t, e in zip(texts, self.whole.encode_batch_fast(texts, add_special_tokens=False), strict=True)]
+        split = [self.word.findall(self.prefix + t.replace(" ", SPACE)) if t else [] for t in texts]
+        fresh = set().union(*split)
+        if len(self.memo) + len(fresh) > self.MEMO:
+            self.memo = {}
+        self.learn(fresh.difference(self.memo))
+        return [sum(map(len, map(self.memo.__getitem__, words))) for words in split]
+
     def learn(self, words: set[str]) -> None:
         """Encodes words. Those with one mark, at their head, go many to a text; each begins at a piece with a mark."""
         plain, odd = [], []
@@ -155,6 +166,18 @@ def encoded_part(texts: list[str | None], c: Codec) -> list[pa.Array]:
     return [ids, pa.array(same, pa.bool_()), pa.array(np.diff(ends).astype(np.int64))]
 
 
+def token_counts(text: Column, model: bytes | None = None, threads: int = 1, rows: int = 256) -> Column:
+    """Number of pieces of each text; 0 for null."""
+    model = default_model() if model is None else model
+
+    @F.pandas_udf("long")
+    def counts(texts: pd.Series) -> pd.Series:
+        c, whole = codec(model, threads), texts.fillna("").tolist()
+        return pd.Series([n for at in range(0, len(whole), rows) for n in c.counts(whole[at : at + rows])], dtype="int64")
+
+    return counts(text)
+
+
 def decoded(ids: Column, model: bytes, threads: int = 1) -> Column:
     """Text of piece ids; null stays null."""
 
