@@ -149,18 +149,20 @@ class MTree:
 def top_k(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, block_rows: int = 8192, query_rows: int = 4096, sample_rows: int = 2048) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best rows for each row whose id is divisible by `every`.
 
-    Rows fall into blocks by their nearest pivot (pivots: rows of a sample of `sample_rows` at most, by hash of the
-    id), hot blocks are cut by a hash of the id; a table of blocks with radii is the root page. A query's kth score
-    within the sample bounds its result from below, so it goes only to blocks that can beat it. Each block meets the
-    queries in chunks: a task holds about block_rows rows and query_rows queries. Ties go to the smaller id. Null
-    ids and vectors that are null or hold null or non-finite components take no part; shorter vectors count as padded
-    with zeros, empty ones score 0 everywhere. Rows that repeat an id and vector are one query; a query's candidates are
-    all rows with another id, repeats included. Scores are exact while they fit a long. An empty table gives an empty one."""
+    Rows fall into blocks by their nearest pivot (pivots: rows of a seeded sample of about `sample_rows`, twice as many
+    at most), hot blocks are cut by a hash of the row; a table of blocks with radii is the root page. A query's kth score
+    within the sample bounds its result from below, so it goes only to blocks that can beat it. Queries are dealt into
+    chunks of neighbours, those of one pivot, and a block is sent to the chunks that reach it and no others; a task
+    holds about block_rows rows and query_rows queries. Ties go to the smaller id. Null ids and vectors that are null
+    or hold null or non-finite components take no part; shorter vectors count as padded with zeros, empty ones score 0
+    everywhere. Of rows that repeat an id, that with the least vector is the query; its candidates are all rows with
+    another id, repeats included. Scores are exact while they fit a long. An empty table gives an empty one."""
     spark = df.sparkSession
     q = durable(quantised(df, vec_id, vector))
     facts = q.agg(F.count("*").alias("n"), F.max("norm").alias("reach"), F.max(F.size("v")).alias("dim")).first()
     n, reach, dim = facts["n"], facts["reach"] or 0.0, max(facts["dim"] or 0, 1)
-    sample = q.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toPandas()
+    sample = q.sample(fraction=min(1.0, sample_rows / max(n, 1)), seed=3).limit(2 * sample_rows).toPandas().sort_values("vec_id", kind="stable")
+    sample = sample.sample(frac=1.0, random_state=3)
     s_ids, s_v = sample["vec_id"].to_numpy(dtype=np.int64), stacked(sample["v"], dim)
     count = int(min(max(1, -(-n // block_rows)), max(1, len(s_ids))))
     lift = lambda v, norm: np.concatenate([v, np.sqrt(np.maximum(reach - norm, 0))[:, None]], axis=1)
@@ -174,13 +176,16 @@ def top_k(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", ever
             d = distances(lift(stacked(b["v"], dim), b["norm"].to_numpy()))
             yield b.assign(pivot=d.argmin(1), away=d.min(1) if len(d) else [])
 
-    placed = durable(q.mapInPandas(place, "vec_id long, v array<double>, norm double, pivot int, away double"))
-    stats = placed.groupBy("pivot").agg(F.count("*").alias("n"), F.max("away").alias("radius")).toPandas()  # a row per pivot, sample_rows at most
+    placed = durable(q.mapInPandas(place, "vec_id long, v array<double>, norm double, pivot int, away double").withColumn("u", F.monotonically_increasing_id()))
+    asked = F.count_if(F.col("vec_id") % every == 0).alias("queries")
+    stats = placed.groupBy("pivot").agg(F.count("*").alias("n"), F.max("away").alias("radius"), asked).toPandas()  # a row per pivot
     radius = np.full(len(pivots), -np.inf)
     radius[stats["pivot"]] = stats["radius"]
     cuts = np.ones(len(pivots), dtype=np.int64)
     cuts[stats["pivot"]] = -(-stats["n"].to_numpy() // block_rows)
-    chunks = max(1, -(-n // (every * query_rows)))
+    parts = np.ones(len(pivots), dtype=np.int64)
+    parts[stats["pivot"]] = np.maximum(1, -(-stats["queries"].to_numpy() // query_rows))
+    most_parts = int(parts.max())
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -193,16 +198,19 @@ def top_k(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", ever
             most = np.sqrt(np.maximum(norm + reach - 2 * floor, 0) + SLACK * (norm + reach + 1))
             d = distances(lift(v, np.full(len(v), reach)))
             reached = d - radius[None, :] <= most[:, None] * (1 + 1e-9) + 1e-6 * (1 + d)
-            yield b.assign(floor=floor.astype(np.int64), pivots=[np.flatnonzero(r) for r in reached])[["vec_id", "v", "norm", "floor", "pivots"]]
+            chunk = b["home"].to_numpy() * most_parts + b["h"].to_numpy() % parts[b["home"]]
+            yield b.assign(floor=floor.astype(np.int64), pivots=[np.flatnonzero(r) for r in reached], chunk=chunk)[["vec_id", "v", "norm", "floor", "pivots", "chunk"]]
 
-    queries = placed.where(F.col("vec_id") % every == 0).drop("pivot", "away").dropDuplicates(["vec_id", "v"])
-    queries = queries.mapInPandas(route, "vec_id long, v array<double>, norm double, floor long, pivots array<int>")
-    queries = queries.select("vec_id", "v", "norm", "floor", F.explode("pivots").alias("pivot"), F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).alias("chunk"))
+    queries = placed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("v", "norm", F.col("pivot").alias("home"))).alias("q"))
+    queries = queries.select("vec_id", "q.v", "q.norm", "q.home", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)).alias("h"))
+    queries = queries.mapInPandas(route, "vec_id long, v array<double>, norm double, floor long, pivots array<int>, chunk long")
+    queries = queries.select("vec_id", "v", "norm", "floor", F.explode("pivots").alias("pivot"), "chunk")
     cut = spark.createDataFrame([(i, int(c)) for i, c in enumerate(cuts)], "pivot int, cuts int")
     cut = F.broadcast(cut) if fits_broadcast(len(cuts), 16) else cut
-    queries = queries.join(cut, "pivot").withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).drop("cuts")
-    rows = placed.join(cut, "pivot").withColumn("cut", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("cuts")).cast("int"))
-    rows = rows.select("vec_id", "v", "pivot", "cut", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"))
+    queries = durable(queries.join(cut, "pivot").withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).drop("cuts"))
+    filled = queries.select("pivot", "cut", "chunk").distinct()
+    rows = placed.join(cut, "pivot").withColumn("cut", F.pmod(F.xxhash64("u", "vec_id"), F.col("cuts")).cast("int"))
+    rows = rows.select("vec_id", "v", "pivot", "cut").join(filled, ["pivot", "cut"])
 
     def search(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(rows):

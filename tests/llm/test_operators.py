@@ -208,8 +208,66 @@ def test_license_rules(spark, text, labels):
     assert len(set(spans)) == len(spans)
 
 
-def test_license_rule_count():
-    assert len(licenses.signatures()) > 200
+def example(pattern):
+    """The shortest text of a regex, first branches first."""
+    from re import _constants as C
+    from re import _parser as P
+
+    def of(items):
+        out = ""
+        for op, arg in items:
+            if op is C.LITERAL:
+                out += chr(arg)
+            elif op is C.IN:
+                out += chr(arg[0][1] if arg[0][0] is C.LITERAL else arg[0][1][0])
+            elif op is C.ANY:
+                out += "x"
+            elif op is C.BRANCH:
+                out += of(arg[1][0])
+            elif op is C.SUBPATTERN:
+                out += of(arg[3])
+            elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
+                out += of(arg[2]) * arg[0]
+            else:
+                raise ValueError(op)
+        return out
+
+    return of(P.parse(pattern))
+
+
+def test_every_license_rule_wins_somewhere(spark):
+    rules = licenses.signatures()
+    assert len(rules) > 300 and len({r.regex for r in rules}) == len(rules) and len({p[2] for p in licenses.PASSAGES}) > 130
+    df = spark.createDataFrame([(i, example(r.regex)) for i, r in enumerate(rules)], "i int, text string").repartition(4)
+    lost = [(r.i, r.text, [d.rule for d in r.detections]) for r in licenses.scan(df).collect() if r.i not in [d.rule for d in r.detections]]
+    assert not lost, lost
+
+
+def plain_detections(text, rules):
+    """All matches in words, then each dropped that a higher priority, a longer or an earlier one of its own contains."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(text))
+    joined, found = " " + " ".join(w) + " ", []
+    for i, r in enumerate(rules):
+        if set(r.keyword.split("|")) & set(w):
+            for m in re.finditer(f"(?<= )(?:{r.regex})(?= )", joined):
+                start = joined[: m.start()].count(" ") - 1
+                found.append((start, start + m[0].count(" ") + 1, r.priority, i))
+    inside = lambda a, b: b[0] <= a[0] and a[1] <= b[1] and (b[2] > a[2] or (b[2] == a[2] and (b[1] - b[0] > a[1] - a[0] or (b[:2] == a[:2] and b[3] < a[3]))))
+    return sorted(a for a in found if not any(inside(a, b) for b in found))
+
+
+def test_license_detections_by_the_definition(spark):
+    rng, rules = random.Random(12), licenses.signatures()
+    parts = [example(r.regex) for r in rules]
+    texts = [" ".join(rng.choice([rng.choice(parts), prose_of(rng, rng.randint(1, 6)), "license", "under the", "version 2", "gnu", "the"]) for _ in range(rng.randint(1, 14))) for _ in range(150)]
+    texts.append(" ".join(["under the mit license 2 gpl"] * 3000))
+    for r in licenses.scan(spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)).collect():
+        got = sorted((d.start, d.end, d.priority, d.rule) for d in r.detections)
+        if len(r.text) < 10_000:
+            assert got == plain_detections(r.text, rules), r.text
+            assert r.score == max((licenses.CONFIDENCE[d[2]] for d in got), default=0.0)
+        else:
+            assert got == [(i, i + 3, licenses.NAME, got[0][3]) for i in range(1, 18_000, 6)]
 
 
 # 4
@@ -525,8 +583,10 @@ def test_quality(docs):
 
 def plain_top(rows, k, every):
     fine = [(i, [math.floor(64 * float(x)) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
-    out = []
-    for qid, q in fine:
+    out, query = [], {}
+    for i, v in fine:
+        query[i] = min(v, query.get(i, v))
+    for qid, q in query.items():
         if qid % every == 0:
             best = sorted((-sum(a * b for a, b in zip(q, v, strict=False)), i) for i, v in fine if i != qid)[:k]
             out += [(qid, n + 1, i, -s) for n, (s, i) in enumerate(best)]
@@ -537,7 +597,7 @@ def plain_top(rows, k, every):
 def test_top_k(spark, sizes):
     rng = np.random.default_rng(1)
     data = [(i, rng.normal(0, 1 + i % 3, 6).astype("f4").tolist()) for i in range(-20, 280)]
-    data += [(1000 + i, data[5][1]) for i in range(60)] + [(2000, None), (2020, [1.0, float("nan")] * 3), (2040, [1.0, None, 1.0]), (2060, [float("inf")] * 6), (2080, []), (2100, [0.5, 0.5])]
+    data += [(1000 + i, data[5][1]) for i in range(60)] + [(40, data[3][1]), (60, data[60 + 20][1]), (7, data[9][1])] + [(2000, None), (2020, [1.0, float("nan")] * 3), (2040, [1.0, None, 1.0]), (2060, [float("inf")] * 6), (2080, []), (2100, [0.5, 0.5])]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumn("rank", F.lit(1))
     got = sorted(tuple(r) for r in topk.top_k(df, **sizes).collect())
     assert got == plain_top(data, 20, 20)
