@@ -208,7 +208,7 @@ def top_k(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", ever
     cut = spark.createDataFrame([(i, int(c)) for i, c in enumerate(cuts)], "pivot int, cuts int")
     cut = F.broadcast(cut) if fits_broadcast(len(cuts), 16) else cut
     queries = durable(queries.join(cut, "pivot").withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).drop("cuts"))
-    filled = queries.select("pivot", "cut", "chunk").distinct()
+    filled = durable(queries.select("pivot", "cut", "chunk").distinct())
     rows = placed.join(cut, "pivot").withColumn("cut", F.pmod(F.xxhash64("u", "vec_id"), F.col("cuts")).cast("int"))
     rows = rows.select("vec_id", "v", "pivot", "cut").join(filled, ["pivot", "cut"])
 
