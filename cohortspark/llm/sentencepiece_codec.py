@@ -103,6 +103,7 @@ class Codec:
         if self.by_word:  # the memo's words are normalised
             self.whole.normalizer = normalizers.Sequence([])
         self.word, self.memo = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+"), {}
+        self.sizes: dict[str, int] = {}
         self.marked = [p.piece.startswith(SPACE) for p in proto.pieces]
         self.bytes = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else p.piece.replace(SPACE, " ").encode() for p in proto.pieces]
 
@@ -118,27 +119,30 @@ class Codec:
         return [np.array(list(chain.from_iterable(map(known, words))), dtype=np.int32) for words in split]
 
     def counts(self, texts: list[str]) -> list[int]:
-        """Numbers of ids only; of words that occur more than once, the memo's length is taken."""
+        """Numbers of ids only. The memo of counts holds numbers in place of lists, so ten times as many words."""
         if not self.by_word:
             return [len(e.ids) if t else 0 for t, e in zip(texts, self.whole.encode_batch_fast(texts, add_special_tokens=False), strict=True)]
         split = [self.word.findall(self.prefix + t.replace(" ", SPACE)) if t else [] for t in texts]
         fresh = set().union(*split)
-        if len(self.memo) + len(fresh) > self.MEMO:
-            self.memo = {}
-        self.learn(fresh.difference(self.memo))
-        return [sum(map(len, map(self.memo.__getitem__, words))) for words in split]
+        if len(self.sizes) + len(fresh) > 10 * self.MEMO:
+            self.sizes = {}
+        self.sizes.update((w, len(ids)) for w, ids in self.ids_of(fresh.difference(self.sizes)))
+        return [sum(map(self.sizes.__getitem__, words)) for words in split]
 
     def learn(self, words: set[str]) -> None:
+        self.memo.update(self.ids_of(words))
+
+    def ids_of(self, words: set[str]) -> Iterator[tuple[str, list[int]]]:
         """Encodes words. Those with one mark, at their head, go many to a text; each begins at a piece with a mark."""
         plain, odd = [], []
         for w in words:
             (plain if w[0] == SPACE and len(w) > 1 and SPACE not in w[1:] else odd).append(w)
-        self.memo.update(zip(odd, (e.ids for e in self.whole.encode_batch_fast(odd, add_special_tokens=False)), strict=True))
+        yield from zip(odd, (e.ids for e in self.whole.encode_batch_fast(odd, add_special_tokens=False)), strict=True)
         groups = [plain[i : i + 512] for i in range(0, len(plain), 512)]
         for group, e in zip(groups, self.whole.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = e.ids
             heads = [i for i, x in enumerate(ids) if self.marked[x]]
-            self.memo.update((w, ids[a:b]) for w, a, b in zip(group, heads, [*heads[1:], len(ids)], strict=True))
+            yield from zip(group, (ids[a:b] for a, b in zip(heads, [*heads[1:], len(ids)], strict=True)), strict=True)
 
     def decode(self, ids: np.ndarray) -> str:
         out = b"".join(map(self.bytes.__getitem__, ids.tolist()))
