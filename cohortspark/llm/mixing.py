@@ -25,7 +25,7 @@ DOMAIN_WEIGHTS = {"web": 0.5, "reference": 0.3, "forum": 0.2}
 LANGUAGE_WEIGHTS = {"en": 0.6, "de": 0.15, "fr": 0.15, "es": 0.1}
 REST = 0.05
 # Rows of the largest leaf that share a bucket, and the bits of the bucket's number.
-BUCKET_ROWS, FEWEST_BITS, MOST_BITS = 1000, 4, 20
+BUCKET_ROWS, FEWEST_BITS, MOST_BITS = 100, 4, 20
 
 
 def default_domain(source: Column) -> Column:
@@ -80,7 +80,7 @@ def mix(docs: DataFrame, share: float = 0.5, max_epochs: int = 2, seed: int = 7,
 
     A leaf gives whole epochs as long as its budget covers them; of the last it gives a prefix in a seeded order that
     is new for each epoch: the rows before which the epoch's tokens have not come up to the budget. A hash of seed,
-    epoch, id and text orders them; its first bits make buckets, as many as leave about a thousand rows of the largest
+    epoch, id and text orders them; its first bits make buckets, as many as leave about a hundred rows of the largest
     leaf in each, whose sums, added up before they are shuffled, show the one bucket where the prefix ends, and only
     rows there are sorted. So a hot leaf is never in one task. The table with its token counts is written once. Null
     domains, languages and sources count as "", null texts as one token; rows equal in id and text tie; an empty table
