@@ -29,8 +29,9 @@ TAIL = 3  # bytes of a word's ending
 STEP_TOKENS = 1 << 16
 # Classes: isqrt of the vocabulary within these; 2,048 keep the table of normalisers at 16 MB.
 FEWEST, MOST = 64, 2048
-# Tokens that one worker learns from, and the most workers whose models are averaged.
-WORKER_TOKENS, MOST_WORKERS = 2_000_000, 4096
+# Tokens that one worker learns from, the most workers whose models are averaged, and the steps a worker takes, within
+# these sizes of a step.
+WORKER_TOKENS, MOST_WORKERS, STEPS, SMALLEST, LARGEST = 1_000_000, 4096, 256, 256, 8192
 
 
 def held_out(doc_id: Column) -> Column:
@@ -180,7 +181,7 @@ def encoder(f: Fitted):
     return encode
 
 
-def train(codes: DataFrame, share: np.ndarray, tokens: int, dim: int, noise: int, rate: float, batch: int, rounds: int, seed: int, worker_tokens: int = WORKER_TOKENS) -> Model:
+def train(codes: DataFrame, share: np.ndarray, tokens: int, dim: int, noise: int, rate: float, batch: int | None, rounds: int, seed: int, worker_tokens: int = WORKER_TOKENS) -> Model:
     """One model from all texts (columns h, codes). Texts go to workers by h, as many workers as the tokens ask for; each
     takes steps over its texts, in order of h, from the same start, and the models are averaged by tokens seen, row by
     row, on the executors. Neither files nor partitions change which worker learns what, nor in which order. The driver
@@ -188,7 +189,8 @@ def train(codes: DataFrame, share: np.ndarray, tokens: int, dim: int, noise: int
     k = len(share)
     workers = int(min(MOST_WORKERS, max(1, -(-tokens // worker_tokens))))
     model = Model.start(share, dim, seed)
-    dealt = durable(codes.select(F.pmod("h", F.lit(workers)).cast("int").alias("w"), "h", "codes").repartition(workers, "w").sortWithinPartitions("w", "h", F.size("codes")))
+    batch = batch or min(LARGEST, max(SMALLEST, tokens // workers // STEPS))
+    dealt = codes.select(F.pmod("h", F.lit(workers)).cast("int").alias("w"), "h", "codes").repartition(workers, "w").sortWithinPartitions("w", "h", F.size("codes")).select("w", "codes")
     for number in range(rounds):
         rows = model.rows()
 
@@ -222,9 +224,7 @@ def train(codes: DataFrame, share: np.ndarray, tokens: int, dim: int, noise: int
             if own is not None:
                 yield result()
 
-        # The table was written sorted by worker, but its files may be cut anew when they are read.
-        read = dealt.repartition(workers, "w").sortWithinPartitions("w", "h", F.size("codes")).select("w", "codes")
-        fitted = read.mapInPandas(fit, "row int, seen double, v array<double>")
+        fitted = dealt.mapInPandas(fit, "row int, seen double, v array<double>")
         sums = [(F.sum(F.col("seen") * F.col("v")[i]) / F.sum("seen")).alias(f"v{i}") for i in range(dim + 1)]
         mean = fitted.groupBy("row").agg(*sums).toPandas().sort_values("row")
         if len(mean):
@@ -350,7 +350,7 @@ def judged(codes: DataFrame, counts: DataFrame, f: Fitted) -> DataFrame:
     )
 
 
-def fit_and_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_classes: int | None = None, hot: int = 200_000, dim: int = 16, noise: int = 24, rate: float = 0.1, batch: int = 1024, rounds: int = 3, seed: int = 7) -> tuple[Fitted, DataFrame]:
+def fit_and_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_classes: int | None = None, hot: int = 200_000, dim: int = 16, noise: int = 24, rate: float = 0.1, batch: int | None = None, rounds: int = 1, seed: int = 7) -> tuple[Fitted, DataFrame]:
     """What was fitted, and the rows of score."""
     rows = prepared(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     counts = durable(token_counts(rows.where(~F.col("held_out"))))
