@@ -1,46 +1,62 @@
-"""Clustered paired bootstrap: whole sets are drawn, the same draws for both arms."""
+"""Clustered paired bootstrap: whole sets are drawn, the same draws for both arms.
+
+How often a set stands in a replicate is a Poisson count of mean 1, drawn for each set by itself, and statistics are
+weighted by the counts. That is the bootstrap's limit for many sets, without one list of n draws a replicate: no set
+needs a number, nothing but sums leaves a task, and B sums are all that is shuffled, whatever the number of sets."""
 
 from __future__ import annotations
 
+from math import exp, factorial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .graph import ranged
+DIGITS = 4  # hexadecimal digits of a draw; an MD5 holds eight draws
+DRAWS = 32 // DIGITS
+# Least draw, of 16 ** DIGITS, for counts of 1, 2, ... by the Poisson distribution function.
+STEPS = tuple(s for k in range(10) if (s := round(16**DIGITS * sum(exp(-1) / factorial(i) for i in range(k + 1)))) < 16**DIGITS)
+
+
+def draw_digest(key: Column, block: Column, seed: int) -> Column:
+    """Digits for the draws of a set in DRAWS replicates in turn. The same in any engine."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), block.cast("string"), key.cast("string")).cast("binary"))
 
 
-def draw_position(b: Column, i: Column, n: Column, seed: int) -> Column:
-    """Draw i of replicate b among n sets: the first 13 hex digits of an MD5, modulo n. The same in any engine."""
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), b.cast("string"), i.cast("string")).cast("binary"))
-    return F.conv(F.substring(h, 1, 13), 16, 10).cast("long") % n
+def counted(draw: Column) -> Column:
+    """Poisson count of a draw of DIGITS lower-case hexadecimal digits, which compare as the numbers do."""
+    times = F.lit(0)
+    for s in STEPS:
+        times = times + (draw >= f"{s:0{DIGITS}x}").cast("int")
+    return times
 
 
 def draw_counts(sets: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
-    """(b, key, times): how often each set is drawn in each replicate; n draws a replicate, one for each set.
-
-    Numbers of the sets come from ranges of the key. Each set makes its own draws for all replicates, so the work is
-    replicates x sets rows, added up before the shuffle and dealt by (b, set)."""
-    dealt = ranged(sets.select(key), key)
-    own = F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1
-    sizes = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per partition
-    total = sizes.agg(F.sum("_n").alias("n"))
-    numbered = dealt.withColumn("_i", own).join(F.broadcast(sizes.select("_p", before.alias("_o"))), "_p").select(key, (F.col("_i") + F.col("_o")).alias("i"))
-    draws = numbered.join(F.broadcast(total)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    hits = draws.select("b", draw_position(F.col("b"), F.col("i"), F.col("n"), seed).alias("i")).groupBy("b", "i").agg(F.count("*").alias("times"))
-    return hits.join(numbered, "i").select("b", key, "times")
-
-
-def paired_bootstrap(sets: DataFrame, key: str, one: str, two: str, replicates: int = 200, seed: int = 7) -> DataFrame:
+    """sets with b and times: how often each set stands in each replicate, where it does. B / e rows are left of a set;
+    sum them before they are shuffled."""
+    spread = sets.repartition(sets.sparkSession.sparkContext.defaultParallelism, key)  # few sets make many rows
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // DRAWS) - 1)))
+    marked = spread.withColumn("_block", blocks).withColumn("_digits", draw_digest(F.col(key), F.col("_block"), seed))
+    draws = F.posexplode(F.array(*[F.substring("_digits", 1 + DIGITS * i, DIGITS) for i in range(DRAWS)])).alias("_i", "_draw")
+    out = marked.select(*sets.columns, "_block", draws).where(F.col("_draw") >= f"{STEPS[0]:0{DIGITS}x}")
+    out = out.select(*sets.columns, (F.col("_block") * DRAWS + F.col("_i")).alias("b"), counted(F.col("_draw")).cast("long").alias("times"))
+    return out.where(F.col("b") < replicates)
+
+
+def replicate_means(sets: DataFrame, key: str, values: list[str], replicates: int, seed: int) -> DataFrame:
+    """(b, n, one column for each value): number drawn and weighted means in each replicate."""
+    drawn = draw_counts(sets.select(key, *values), key, replicates, seed)
+    means = [(F.sum(F.col("times") * F.col(v)) / F.sum("times")).alias(v) for v in values]
+    return drawn.groupBy("b").agg(F.sum("times").alias("n"), *means)
+
+
+def paired_bootstrap(sets: DataFrame, key: str, one: str, two: str, replicates: int = 10_000, seed: int = 7) -> DataFrame:
     """One row: observed delta of the means of two over one, mean and median over replicates, 95 % interval, the share
     above 0, a two-sided p with one added, and whether the interval is above 0."""
-    counts = draw_counts(sets, key, replicates, seed)
-    values = sets.select(key, (F.col(two) - F.col(one)).alias("d"))
-    reps = counts.join(values, key).groupBy("b").agg((F.sum(F.col("times") * F.col("d")) / F.sum("times")).alias("delta"))
-    q = F.percentile("delta", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
+    values = sets.select(key, (F.col(two) - F.col(one)).alias("delta"))
+    reps = replicate_means(values, key, ["delta"], replicates, seed)
+    q = F.percentile("delta", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))  # a row per replicate
     low, high = F.count_if(F.col("delta") <= 0), F.count_if(F.col("delta") >= 0)
     p = F.least(F.lit(1.0), 2 * (F.least(low, high) + 1) / (F.count("*") + 1))
     out = reps.agg(F.avg("delta").alias("mean_delta"), q.alias("q"), F.avg((F.col("delta") > 0).cast("int")).alias("p_above_0"), p.alias("two_sided_p"), F.count("*").alias("replicates"))
-    observed = values.agg(F.avg("d").alias("observed"))
-    out = observed.join(F.broadcast(out))
+    out = values.agg(F.avg("delta").alias("observed")).join(F.broadcast(out))  # one row each
     return out.select("observed", "mean_delta", F.col("q")[1].alias("median_delta"), F.col("q")[0].alias("low"), F.col("q")[2].alias("high"), "p_above_0", "two_sided_p", (F.col("q")[0] > 0).alias("supported"), "replicates")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,7 +45,46 @@ def as_vector(df: DataFrame, by: Sequence[str], position: str, value: str) -> Da
     return rows.withColumn("v", F.transform("v", lambda s: s[value]))
 
 
-def blocks(raw: Column, signed: Column, absdev: Column, summary: Column, variant: str) -> Column:
-    """Feature arrays of the ablations A0 to A6; static and rain parts are concatenated by the caller."""
-    parts = {"A0": (raw,), "A1": (raw, signed), "A2": (raw, absdev), "A3": (raw, signed, absdev), "A6": (raw, signed, absdev, summary)}[variant]
-    return F.concat(*parts)
+# What each ablation holds, in order; s and r are static values and series, each raw, signed, absolute
+# deviations, and the seven statistics of the series' signed deviations.
+ABLATIONS = {
+    "A0": ("s_raw", "r_raw"),
+    "A1": ("s_raw", "r_raw", "s_signed", "r_signed"),
+    "A2": ("s_raw", "r_raw", "s_abs", "r_abs"),
+    "A3": ("s_raw", "r_raw", "s_signed", "s_abs", "r_signed", "r_abs"),
+    "A4": ("s_raw", "s_signed", "s_abs", "r_raw"),
+    "A5": ("s_raw", "r_raw", "r_signed", "r_abs", "r_seven"),
+    "A6": ("s_raw", "s_signed", "s_abs", "r_raw", "r_signed", "r_abs", "r_seven"),
+}
+
+
+BLOCKS = ("s_raw", "s_signed", "s_abs", "r_raw", "r_signed", "r_abs", "r_seven")
+
+
+def set_blocks(df: DataFrame, set_id: str, unit: str, static: str, series: str, channels: int, rows: int = 128) -> DataFrame:
+    """(set_id, unit, s_raw, s_signed, s_abs, r_raw, r_signed, r_abs, r_seven) of each member of a set. static and series
+    are arrays, series flat, time by time; r_seven holds STATISTICS of the signed deviations of each channel, all means
+    first. Members of a set, three by contract, meet in one row, and `rows` of these are worked out at a time, as whole
+    arrays; labels are no input."""
+    g = df.groupBy(set_id).agg(F.sort_array(F.collect_list(F.struct(F.col(unit).alias("unit"), F.col(static).alias("s"), F.col(series).alias("r")))).alias("m"))
+    kinds = dict(df.dtypes)
+    g = g.select(set_id, "m.unit", "m.s", "m.r")
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), rows):
+                out = []
+                for key, units, s, r in b.iloc[at : at + rows].itertuples(index=False):
+                    s, r = np.stack([np.asarray(x, dtype=float) for x in s]), np.stack([np.asarray(x, dtype=float) for x in r])
+                    ds, dr = s - s.mean(0), r - r.mean(0)
+                    x = dr.reshape(len(dr), -1, channels)
+                    seven = np.concatenate([x.mean(1), x.std(1), x.max(1), x.min(1), x.sum(1), x[:, -1], np.abs(x).max(1)], axis=1)
+                    out += list(zip([key] * len(s), units, s, ds, np.abs(ds), r, dr, np.abs(dr), seven, strict=True))
+                yield pd.DataFrame(out, columns=[set_id, unit, *BLOCKS])
+
+    return g.mapInPandas(work, f"{set_id} {kinds[set_id]}, {unit} {kinds[unit]}, " + ", ".join(f"{c} array<double>" for c in BLOCKS))
+
+
+def variant(name: str) -> Column:
+    """Feature vector of an ablation from the columns of set_blocks."""
+    return F.concat(*map(F.col, ABLATIONS[name]))

@@ -20,6 +20,12 @@ def slotted(df: DataFrame, key: str, ts: str, value: str) -> DataFrame:
     return df.groupBy(key, slot_of(ts).alias("slot")).agg(F.sum(value).alias("v"))
 
 
+def span(df: DataFrame, ts: str) -> tuple[str, str]:
+    """First and last slot of the table."""
+    first, last = df.select(slot_of(ts).cast("string").alias("slot")).agg(F.min("slot"), F.max("slot")).first()
+    return first, last
+
+
 def grid(keys: DataFrame, key: str, first: str, last: str) -> DataFrame:
     """Every slot from first to last for each distinct key."""
     slots = F.explode(F.sequence(F.lit(first).cast("timestamp_ntz"), F.lit(last).cast("timestamp_ntz"), F.expr(STEP)))
@@ -42,10 +48,20 @@ def rolling_sums(df: DataFrame, key: str, slot: str, value: str, hours: Sequence
 
 
 def decayed_sum(df: DataFrame, key: str, slot: str, value: str, decay: float, length: int) -> DataFrame:
-    """Adds decayed: the sum of decay ** age * value over the last `length` slots. The frame is bounded, so sums stay
-    exact for series of any length (products over the whole series would underflow)."""
-    own = Window.partitionBy(key).orderBy(slot).rowsBetween(1 - length, 0)
-    return df.withColumn("_past", F.collect_list(value).over(own)).withColumn("decayed", F.aggregate("_past", F.lit(0.0), lambda a, x: a * decay + x)).drop("_past")
+    """Adds decayed: the sum of decay ** age * value over the last `length` slots of a series without gaps.
+
+    The series is cut into blocks of `length` slots. Weighted sums within a block give its part of each sum, and the
+    end of the block before, found `length` rows back, the other part. So the work is linear in the rows whatever the
+    length, and weights stay within decay ** -length."""
+    if not 0 < decay <= 1 or decay**length < 1e-150:
+        raise ValueError("decay ** length is out of range")
+    own = Window.partitionBy(key).orderBy(slot)
+    out = df.withColumn("_i", F.row_number().over(own) - 1).withColumns({"_b": F.floor(F.col("_i") / length), "_j": F.col("_i") % length})
+    block = Window.partitionBy(key, "_b")
+    out = out.withColumn("_w", F.col(value) * F.pow(F.lit(decay), -F.col("_j")))
+    out = out.withColumns({"_p": F.sum("_w").over(block.orderBy(slot).rowsBetween(Window.unboundedPreceding, 0)), "_t": F.sum("_w").over(block)})
+    tail = (F.lag("_t", length).over(own) - F.lag("_p", length).over(own)) * F.pow(F.lit(decay), F.col("_j") + length)
+    return out.withColumn("decayed", F.col("_p") * F.pow(F.lit(decay), F.col("_j")) + F.coalesce(tail, F.lit(0.0))).drop("_i", "_b", "_j", "_w", "_p", "_t")
 
 
 def last_slots(df: DataFrame, key: str, slot: str, anchor: str, n: int) -> DataFrame:

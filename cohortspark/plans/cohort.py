@@ -93,8 +93,11 @@ def units(t: Tables) -> DataFrame:
 
 
 def scaled(t: Tables) -> DataFrame:
-    u = units(t)
-    return robust_apply(u, robust_params(u, FEATURES), FEATURES)
+    def make() -> DataFrame:
+        u = t.once("units", lambda: units(t))
+        return robust_apply(u, robust_params(u, FEATURES), FEATURES)
+
+    return t.once("scaled", make)
 
 
 def edges(t: Tables) -> DataFrame:
@@ -111,9 +114,15 @@ def ranked(t: Tables) -> DataFrame:
     return edges(t).withColumn("r", F.row_number().over(by))
 
 
+def nearest(t: Tables, k: int = 2) -> DataFrame:
+    """(p_unit_id, r, c_unit_id) of each case's k nearest candidates. Windows that keep the first rows only are cut to
+    them before the shuffle."""
+    return t.once(f"nearest{k}", lambda: ranked(t).where(F.col("r") <= k).select("p_unit_id", "r", "c_unit_id"))
+
+
 def sets(t: Tables) -> DataFrame:
     """(set_id, slot, unit_id): each case with its two nearest candidates, which may serve several cases."""
-    pairs = ranked(t).where("r <= 2").withColumn("n", F.count("*").over(Window.partitionBy("p_unit_id"))).where("n = 2")
+    pairs = nearest(t).withColumn("n", F.count("*").over(Window.partitionBy("p_unit_id"))).where("n = 2")
     slots = F.array(F.struct(F.col("r").alias("slot"), F.col("c_unit_id").alias("unit_id")), F.struct(F.lit(0).alias("slot"), F.col("p_unit_id").alias("unit_id")))
     both = pairs.select("r", F.col("p_unit_id").alias("set_id"), F.explode(slots).alias("s")).where("s.slot > 0 or r = 1")
     return both.select("set_id", F.col("s.slot").alias("slot"), F.col("s.unit_id").alias("unit_id"))

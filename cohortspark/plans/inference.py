@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import statistics as S
-from ..operators.bootstrap import draw_counts, paired_bootstrap
+from ..operators.bootstrap import DIGITS, DRAWS, STEPS, draw_counts, paired_bootstrap
 from ..operators.context import deviations
 from ..registry import Tables, query
 from .cohort import FEATURES, MEMBERS_SQL, SETSCORE_SQL, UNITS_SQL, scores, set_scores, units
@@ -14,11 +14,12 @@ from .representation import LONG_SQL, long_features
 
 R = F.round
 WIN = "({a}_p > greatest({a}_1, {a}_2))::INTEGER"
-B = 50
-DRAWS_SQL = f"""w AS (SELECT set_id, {WIN.format(a='raw')} AS one, {WIN.format(a='ctx')} AS two, row_number() OVER (ORDER BY set_id) - 1 AS i, count(*) OVER () AS n FROM setscore),
-dr AS (SELECT b, ('0x' || substr(md5('7:' || b || ':' || i), 1, 13))::BIGINT % n AS i FROM w, (SELECT unnest(range({B})) AS b)),
-cnt AS (SELECT b, i, count(*) AS times FROM dr GROUP BY ALL),
-rep AS (SELECT b, sum(times * (two - one)) / sum(times)::DOUBLE AS delta FROM cnt JOIN w USING (i) GROUP BY 1)"""
+B = 10_000
+DRAWS_SQL = f"""w AS (SELECT set_id, {WIN.format(a='raw')} AS one, {WIN.format(a='ctx')} AS two FROM setscore),
+dg AS (SELECT set_id, k, md5('7:' || k || ':' || set_id) AS h FROM w, (SELECT unnest(range({B // DRAWS})) AS k)),
+dr AS (SELECT set_id, k * {DRAWS} + i AS b, substr(h, 1 + {DIGITS} * i, {DIGITS}) AS u FROM dg, (SELECT unnest(range({DRAWS}))::INTEGER AS i)),
+cnt AS (SELECT set_id, b, {' + '.join(f"(u >= '{x:0{DIGITS}x}')::BIGINT" for x in STEPS)} AS times FROM dr),
+rep AS (SELECT b, sum(times * (two - one)) / sum(times)::DOUBLE AS delta FROM cnt JOIN w USING (set_id) WHERE times > 0 GROUP BY 1)"""
 
 
 def outcomes(t: Tables) -> DataFrame:
@@ -32,19 +33,19 @@ def bootstrap(t: Tables) -> DataFrame:
     return o.select(*[R(c, 6).alias(c) for c in ("observed", "mean_delta", "median_delta", "low", "high", "two_sided_p")], "supported")
 
 
-@query("in2_cluster_draws", f"WITH {SETSCORE_SQL}, {DRAWS_SQL} SELECT b, sum(times)::BIGINT AS draws, count(*) AS sets FROM cnt GROUP BY 1")
+@query("in2_cluster_draws", f"WITH {SETSCORE_SQL}, {DRAWS_SQL} SELECT b, sum(times)::BIGINT AS draws, count(*) AS sets, round(sum(times * one) / sum(times)::DOUBLE, 6) AS one, round(sum(times * two) / sum(times)::DOUBLE, 6) AS two FROM cnt JOIN w USING (set_id) WHERE times > 0 GROUP BY 1")
 def cluster_draws(t: Tables) -> DataFrame:
-    return draw_counts(outcomes(t).select("set_id"), "set_id", B, 7).groupBy(F.col("b").cast("long").alias("b")).agg(F.sum("times").alias("draws"), F.count("*").alias("sets"))
+    mean = lambda c: R(F.sum(F.col("times") * F.col(c)) / F.sum("times"), 6).alias(c)
+    return draw_counts(outcomes(t), "set_id", B, 7).groupBy(F.col("b").cast("long").alias("b")).agg(F.sum("times").alias("draws"), F.count("*").alias("sets"), mean("one"), mean("two"))
 
 
-@query("in3_expansion_audit", f"WITH {SETSCORE_SQL}, {DRAWS_SQL} SELECT 0::BIGINT AS mismatches, count(*) AS replicates FROM rep")
+@query("in3_expansion_audit", f"WITH {SETSCORE_SQL}, {DRAWS_SQL}, e AS (SELECT b, avg(two) AS c FROM (SELECT b, two, unnest(range(times)) FROM cnt JOIN w USING (set_id)) GROUP BY 1), a AS (SELECT b, sum(times * two) / sum(times)::DOUBLE AS a FROM cnt JOIN w USING (set_id) GROUP BY 1) SELECT count(*) FILTER (abs(a - c) > 1e-12) AS mismatches, count(*) AS replicates, round(avg(c), 6) AS mean FROM e JOIN a USING (b)")
 def expansion_audit(t: Tables) -> DataFrame:
     """Weighted means against means over rows written out as often as drawn."""
-    o, c = outcomes(t), draw_counts(outcomes(t).select("set_id"), "set_id", B, 7)
-    j = c.join(o, "set_id")
+    j = draw_counts(outcomes(t).select("set_id", "two"), "set_id", B, 7)
     weighted = j.groupBy("b").agg((F.sum(F.col("times") * F.col("two")) / F.sum("times")).alias("a"))
     written = j.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).groupBy("b").agg(F.avg("two").alias("c"))
-    return weighted.join(written, "b").agg(F.count_if(F.abs(F.col("a") - F.col("c")) > 1e-12).alias("mismatches"), F.count("*").alias("replicates"))
+    return weighted.join(written, "b").agg(F.count_if(F.abs(F.col("a") - F.col("c")) > 1e-12).alias("mismatches"), F.count("*").alias("replicates"), R(F.avg("c"), 6).alias("mean"))
 
 
 SMD_SQL = "(avg({c}) FILTER (y = 1) - avg({c}) FILTER (y = 0)) / sqrt((var_samp({c}) FILTER (y = 1) + var_samp({c}) FILTER (y = 0)) / 2)"

@@ -100,12 +100,12 @@ def point_in_polygon(t: Tables) -> DataFrame:
     return points_in_polygons(points(t), t.nation.select(n.alias("p"), ring.alias("ring")), 1000.0).select("k", "p")
 
 
-@query("j13_rectangle_overlap", "WITH r AS (SELECT p_partkey AS k, p_retailprice AS x0, p_retailprice + 5 AS x1, (p_size * 10)::DOUBLE AS y0, (p_size * 10 + 8)::DOUBLE AS y1 FROM part WHERE p_partkey % 4 = 0) SELECT a.k AS a, b.k AS b, round((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)), 6) AS area FROM r a JOIN r b ON a.k < b.k AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1")
+@query("j13_rectangle_overlap", "WITH r AS (SELECT p_partkey AS k, p_retailprice AS x0, p_retailprice + 5 AS x1, (p_size * 10)::DOUBLE AS y0, (p_size * 10 + 8)::DOUBLE AS y1 FROM part) SELECT a.k AS a, b.k AS b, round((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)), 6) AS area FROM r a JOIN r b ON a.k < b.k AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1")
 def rectangle_overlap(t: Tables) -> DataFrame:
     from ..operators.spatial import rectangle_overlaps
 
     x, y = F.col("p_retailprice"), (F.col("p_size") * 10).cast("double")
-    r = t.part.where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("k"), x.alias("x0"), (x + 5).alias("x1"), y.alias("y0"), (y + 8).alias("y1"))
+    r = t.part.select(F.col("p_partkey").alias("k"), x.alias("x0"), (x + 5).alias("x1"), y.alias("y0"), (y + 8).alias("y1"))
     return rectangle_overlaps(r, "k", 20.0).select("a", "b", F.round("area", 6).alias("area"))
 
 
@@ -118,9 +118,9 @@ def align_predictions(t: Tables) -> DataFrame:
     return both.agg(F.count("*").alias("n"), F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("missing"), F.count_if(F.col("ya") != F.col("yb")).alias("label_conflicts"))
 
 
-@query("j15_attach_geometry", f"WITH {UNITS_SQL} SELECT unit_id, c_acctbal AS x, (c_custkey * 7919 % 10007)::DOUBLE AS y FROM units JOIN customer ON customer = c_custkey WHERE unit_id % 2 = 0")
+@query("j15_attach_geometry", f"WITH {UNITS_SQL} SELECT unit_id, c_acctbal AS x, (c_custkey * 7919 % 10007)::DOUBLE AS y FROM units JOIN customer ON customer = c_custkey")
 def attach_geometry(t: Tables) -> DataFrame:
-    u = units(t).where("unit_id % 2 = 0").select("unit_id", F.col("customer").alias("k"))
+    u = units(t).select("unit_id", F.col("customer").alias("k"))
     return checked_join(u, points(t), ["k"], "left").select("unit_id", "x", "y")
 
 

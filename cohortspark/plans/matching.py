@@ -88,13 +88,14 @@ def cheapest_assignment(t: Tables) -> DataFrame:
     return assign.cheapest_assignment(g, assign.common_support(g)).select("p", "c", R("cost", 6).alias("cost"))
 
 
-LINKS_SQL = "links AS (SELECT DISTINCT l_orderkey AS a, l_orderkey + l_partkey % 40 AS b FROM lineitem WHERE l_partkey % 40 BETWEEN 1 AND 3 AND l_orderkey % 3 = 0)"
+# Orders (even nodes) are linked to the weeks in which a part was shipped (odd nodes); all lines take part.
+LINKS_SQL = "links AS (SELECT DISTINCT 2 * l_orderkey AS a, 2 * (l_partkey * 1000 + date_diff('day', DATE '1992-01-01', l_shipdate::DATE) // 7) + 1 AS b FROM lineitem)"
 WALK_SQL = f"{LINKS_SQL}, sides AS (SELECT a, b FROM links UNION SELECT b, a FROM links), walk AS (SELECT a AS node, a AS root FROM sides UNION SELECT b.b, w.root FROM walk w JOIN sides b ON b.a = w.node), comp AS (SELECT node, min(root) AS root FROM walk GROUP BY 1)"
 
 
 def links(t: Tables) -> DataFrame:
-    k = F.col("l_partkey") % 40
-    return t.lineitem.where(k.between(1, 3) & (F.col("l_orderkey") % 3 == 0)).select(F.col("l_orderkey").alias("a"), (F.col("l_orderkey") + k).alias("b")).distinct()
+    week = F.floor(F.datediff(F.to_date("l_shipdate"), F.lit("1992-01-01").cast("date")) / 7)
+    return t.lineitem.select((2 * F.col("l_orderkey")).alias("a"), (2 * (F.col("l_partkey") * 1000 + week) + 1).alias("b")).distinct()
 
 
 @query("mg12_components", f"WITH RECURSIVE {WALK_SQL} SELECT node, root FROM comp")

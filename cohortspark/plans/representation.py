@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import context as C
+from ..operators import temporal as T
 from ..operators.scaling import robust_apply, robust_params, standard_apply, standard_params
 from ..registry import Tables, query
 from .cohort import MEMBERS_SQL, UNITS_SQL, members, units
-from .windows import GRID_SQL, rain
+from .windows import GRID_SQL, HOURS, rain
 
 R = F.round
 
@@ -59,21 +60,85 @@ def feature_vector(t: Tables) -> DataFrame:
     return v.select("unit_id", parts.alias("f")).select("unit_id", F.size("f").alias("dim"), R(F.aggregate("f", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
-SUMMARY_SQL = ", ".join(f"round({e}, 4) AS {n}" for n, e in (("mean", "avg(v)"), ("std", "stddev_pop(v)"), ("max", "max(v)"), ("min", "min(v)"), ("sum", "sum(v)"), ("last", "arg_max(v, slot)"), ("maxabs", "max(abs(v))")))
+SUMMARY_SQL = ", ".join(f"round({e}, 3) AS {n}" for n, e in (("mean", "avg(v)"), ("std", "stddev_pop(v)"), ("max", "max(v)"), ("min", "min(v)"), ("sum", "sum(v)"), ("last", "arg_max(v, slot)"), ("maxabs", "max(abs(v))")))
 
 
 @query("rp5_seven_summaries", f"WITH {GRID_SQL} SELECT user_id, {SUMMARY_SQL} FROM rain GROUP BY 1")
 def seven_summaries(t: Tables) -> DataFrame:
-    return C.summaries(rain(t), ["user_id"], "v", "slot").select("user_id", *[R(s, 4).alias(s) for s in C.STATISTICS])
+    return C.summaries(rain(t), ["user_id"], "v", "slot").select("user_id", *[R(s, 3).alias(s) for s in C.STATISTICS])
 
 
-@query("rp6_ablation_dims", "SELECT * FROM (VALUES ('A0', 64), ('A1', 128), ('A2', 128), ('A3', 192), ('A6', 199)) v(variant, dim)")
+# Units: users with an embedding; static: its 64 values and the squares of the first 28; series: 70 half hours of ten
+# channels (value, eight rolling sums, decayed index). Sets are three users in turn.
+CHANNELS = ("v", *(f"h{h}" for h in HOURS), "api")
+_SUMS = ", ".join(f"sum(v) OVER (PARTITION BY user_id ORDER BY slot ROWS BETWEEN {2 * h - 1} PRECEDING AND CURRENT ROW) AS h{h}" for h in HOURS)
+TENSOR_SQL = f"""{GRID_SQL},
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY slot) AS i, row_number() OVER (PARTITION BY user_id ORDER BY slot DESC) AS back, {_SUMS} FROM rain),
+api AS (SELECT a.user_id, a.i, sum(pow(0.9, a.i - b.i) * b.v) AS api FROM n a JOIN n b ON a.user_id = b.user_id AND b.i BETWEEN a.i - 239 AND a.i WHERE a.back <= 70 GROUP BY ALL),
+tensor AS (SELECT user_id, flatten(list([{", ".join(CHANNELS)}] ORDER BY i)) AS r FROM n JOIN api USING (user_id, i) GROUP BY 1),
+member AS (SELECT vec_id // 3 AS set_id, vec_id AS unit_id, list_concat(list_transform(embedding, lambda x: x::DOUBLE), list_transform(embedding[1:28], lambda x: x::DOUBLE * x::DOUBLE)) AS s, r FROM embeddings JOIN tensor ON user_id = vec_id)"""
+BLOCKS_SQL = f"""{TENSOR_SQL},
+ls AS (SELECT *, x - avg(x) OVER (PARTITION BY set_id, i) AS d FROM (SELECT set_id, unit_id, unnest(range(92)) AS i, unnest(s) AS x FROM member)),
+lr AS (SELECT *, x - avg(x) OVER (PARTITION BY set_id, i) AS d FROM (SELECT set_id, unit_id, unnest(range(700)) AS i, unnest(r) AS x FROM member)),
+seven AS (SELECT unit_id, i % 10 AS c, [avg(d), stddev_pop(d), max(d), min(d), sum(d), last(d ORDER BY i), max(abs(d))] AS z FROM lr GROUP BY ALL),
+z AS (SELECT unit_id, list(z[k] ORDER BY k, c) AS r_seven FROM seven, (SELECT unnest(range(1, 8)) AS k) GROUP BY 1),
+blk AS (SELECT * FROM (SELECT unit_id, list(x ORDER BY i) AS s_raw, list(d ORDER BY i) AS s_signed, list(abs(d) ORDER BY i) AS s_abs FROM ls GROUP BY 1)
+  JOIN (SELECT unit_id, list(x ORDER BY i) AS r_raw, list(d ORDER BY i) AS r_signed, list(abs(d) ORDER BY i) AS r_abs FROM lr GROUP BY 1) USING (unit_id) JOIN z USING (unit_id))"""
+# The second sum weighs values by their place, so that it shows an order other than the layout's.
+_SEEN = "len({f})::INTEGER AS dim, round(list_sum({f}), 2) AS total, round(list_sum(list_transform(range(1, len({f}) + 1), lambda k: k * {f}[k])) / len({f}), 2) AS by_place"
+
+
+def tensor(t: Tables) -> DataFrame:
+    """(user_id, r): 70 x 10 values, time by time."""
+    n = T.decayed_sum(T.rolling_sums(rain(t), "user_id", "slot", "v", HOURS), "user_id", "slot", "v", 0.9, 240).withColumnRenamed("decayed", "api")
+    back = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("slot")))
+    n = n.withColumn("back", back).where("back <= 70")
+    return n.groupBy("user_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("slot", F.array(*CHANNELS).alias("x")))), lambda s: s["x"])).alias("r"))
+
+
+def set_members(t: Tables) -> DataFrame:
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    static = F.concat(e, F.transform(F.slice(e, 1, 28), lambda x: x * x))
+    rows = t.embeddings.select((F.col("vec_id") / 3).cast("long").alias("set_id"), F.col("vec_id").alias("unit_id"), static.alias("s"))
+    return rows.join(tensor(t).withColumnRenamed("user_id", "unit_id"), "unit_id")
+
+
+def seen(v: Column) -> list[Column]:
+    place = F.aggregate(F.transform(v, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return [F.size(v).alias("dim"), R(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 2).alias("total"), R(place / F.size(v), 2).alias("by_place")]
+
+
+@query("sp16_rain_tensor", f"WITH {TENSOR_SQL} SELECT user_id, {_SEEN.format(f='r')} FROM tensor")
+def rain_tensor(t: Tables) -> DataFrame:
+    return tensor(t).select("user_id", *seen(F.col("r")))
+
+
+@query("rp6_ablation_dims", f"WITH {BLOCKS_SQL}, a AS (" + " UNION ALL ".join(f"SELECT unit_id, '{k}' AS variant, {' || '.join(v)} AS f FROM blk" for k, v in C.ABLATIONS.items()) + f") SELECT unit_id, variant, {_SEEN.format(f='f')} FROM a")
 def ablation_dims(t: Tables) -> DataFrame:
-    d = C.deviations(long_features(t).where("unit_id = 0 or unit_id = 1 or unit_id = 2"))
-    v = d.groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct("feature", "x", "signed", "absdev"))).alias("v")).where("unit_id = 0")
-    seven = F.transform(F.array(*[F.lit(0.0)] * 7), lambda x: x)
-    rows = F.array(*[F.struct(F.lit(k).alias("variant"), F.size(C.blocks(F.col("v.x"), F.col("v.signed"), F.col("v.absdev"), seven, k)).alias("dim")) for k in ("A0", "A1", "A2", "A3", "A6")])
-    return v.select(F.explode(rows).alias("r")).select("r.*")
+    """Every unit's vector in each of the seven ablations: 792, 1,584, 1,584, 2,376, 976, 2,262 and 2,446 values."""
+    b = C.set_blocks(set_members(t), "set_id", "unit_id", "s", "r", len(CHANNELS))
+    vectors = F.array(*[F.struct(F.lit(k).alias("variant"), C.variant(k).alias("f")) for k in C.ABLATIONS])
+    return b.select("unit_id", F.explode(vectors).alias("v")).select("unit_id", "v.variant", *seen(F.col("v.f")))
+
+
+@query("rp3_raw_layout", f"WITH {TENSOR_SQL} SELECT unit_id, {_SEEN.format(f='(s || r)')} FROM member")
+def raw_layout(t: Tables) -> DataFrame:
+    return set_members(t).select("unit_id", *seen(F.concat("s", "r")))
+
+
+@query(
+    "rp8_alien_context",
+    f"""WITH {TENSOR_SQL}, o AS (SELECT DISTINCT set_id FROM member), nx AS (SELECT set_id, coalesce(lead(set_id) OVER w, first_value(set_id) OVER w) AS other FROM o WINDOW w AS (ORDER BY md5(set_id::VARCHAR), set_id)),
+x AS (SELECT set_id, unit_id, unnest(range(92)) AS i, unnest(s) AS x FROM member), m AS (SELECT set_id, i, avg(x) AS m FROM x GROUP BY ALL)
+SELECT x.unit_id, round(sum(x - m), 4) AS signed, round(sum(abs(x - m)), 4) AS absdev FROM x JOIN nx USING (set_id) JOIN m ON m.set_id = nx.other AND m.i = x.i GROUP BY 1""",
+)
+def alien_context(t: Tables) -> DataFrame:
+    """The placebo's features: deviations from another set's mean."""
+    x = set_members(t).select("set_id", "unit_id", F.posexplode("s").alias("i", "x"))
+    means = x.groupBy("set_id", "i").agg(F.avg("x").alias("m"))
+    other = C.derangement(x, "set_id")
+    d = x.join(other, "set_id").select("unit_id", "i", "x", F.col("other").alias("set_id")).join(means, ["set_id", "i"]).withColumn("d", F.col("x") - F.col("m"))
+    return d.groupBy("unit_id").agg(R(F.sum("d"), 4).alias("signed"), R(F.sum(F.abs("d")), 4).alias("absdev"))
 
 
 @query("rp7_global_centring", f"WITH {UNITS_SQL} SELECT unit_id, round(price - (SELECT avg(price) FROM units WHERE unit_id % 5 > 1), 4) AS centred FROM units")
@@ -110,10 +175,10 @@ def external_categories(t: Tables) -> DataFrame:
     return t.orders.join(F.broadcast(codes)).select("o_orderkey", F.when(at >= 0, at).otherwise(99).cast("int").alias("code"))
 
 
-@query("rp13_process_summaries", f"WITH {GRID_SQL}, i AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY slot) - 1 AS i FROM rain) SELECT user_id, round(quantile_cont(v, 0.9), 4) AS p90, round(arg_min(i, struct_pack(v := -v, i := i)) / 191.0::DOUBLE, 6) AS peak FROM i GROUP BY 1")
+@query("rp13_process_summaries", f"WITH {GRID_SQL}, i AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY slot) - 1 AS i FROM rain) SELECT user_id, round(quantile_cont(v, 0.9), 4) AS p90, round(arg_min(i, struct_pack(v := -v, i := i)) / (count(*) - 1)::DOUBLE, 6) AS peak FROM i GROUP BY 1")
 def process_summaries(t: Tables) -> DataFrame:
     i = rain(t).withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("slot")) - 1)
-    peak = F.min(F.struct((-F.col("v")).alias("v"), "i"))["i"] / F.lit(191.0)
+    peak = F.min(F.struct((-F.col("v")).alias("v"), "i"))["i"] / (F.count("*") - 1)
     return i.groupBy("user_id").agg(R(F.percentile("v", F.lit(0.9)), 4).alias("p90"), R(peak, 6).alias("peak"))
 
 

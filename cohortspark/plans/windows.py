@@ -12,16 +12,14 @@ from ..registry import Tables, query
 from .cohort import SETS_SQL, SETSCORE_SQL, UNITS_SQL, ranked, set_scores, sets, units
 
 R = F.round
-# Rain stands in: value of events per user and half-hour slot, on a grid without gaps over four days.
+# Rain stands in: value of events per user and half-hour slot, on a grid without gaps from the first slot to the last.
 GRID_SQL = """
-grid AS (SELECT u.user_id, s.slot FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 10 = 0) u, (SELECT unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-04 23:30:00', INTERVAL 30 MINUTE)) AS slot) s),
+grid AS (SELECT u.user_id, s.slot FROM (SELECT DISTINCT user_id FROM events) u, (SELECT unnest(generate_series(time_bucket(INTERVAL 30 MINUTE, min(ts)), time_bucket(INTERVAL 30 MINUTE, max(ts)), INTERVAL 30 MINUTE)) AS slot FROM events) s),
 rain AS (SELECT g.user_id, g.slot, coalesce(v, 0.0) AS v FROM grid g LEFT JOIN (SELECT user_id, time_bucket(INTERVAL 30 MINUTE, ts) AS slot, sum(value) AS v FROM events GROUP BY ALL) e ON e.user_id = g.user_id AND e.slot = g.slot)"""
 
 
 def rain(t: Tables) -> DataFrame:
-    e = t.events.where("user_id % 10 = 0")
-    slots = T.slotted(e, "user_id", "ts", "value")
-    return T.densify(slots, "user_id", "2024-01-01 00:00:00", "2024-01-04 23:30:00")
+    return T.densify(T.slotted(t.events, "user_id", "ts", "value"), "user_id", *T.span(t.events, "ts"))
 
 
 @query("wn2_top_k", f"WITH {SETS_SQL} SELECT k, count(*) AS n_edges, count(DISTINCT p_unit_id) AS n_cases, count(DISTINCT c_unit_id) AS n_controls FROM ranked, (SELECT unnest([1, 2, 5, 25]) AS k) WHERE r <= k GROUP BY 1")
@@ -49,15 +47,15 @@ def rolling_sums(t: Tables) -> DataFrame:
     return T.rolling_sums(rain(t), "user_id", "slot", "v", HOURS).select("user_id", F.col("slot").cast("string").alias("slot"), *[R(f"h{h}", 4).alias(f"h{h}") for h in HOURS])
 
 
-@query("wn6_decayed_index", f"WITH {GRID_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY slot) AS i FROM rain) SELECT a.user_id, a.slot::VARCHAR AS slot, round(sum(pow(0.9, a.i - b.i) * b.v), 4) AS api FROM n a JOIN n b ON a.user_id = b.user_id AND b.i BETWEEN a.i - 47 AND a.i GROUP BY ALL")
+@query("wn6_decayed_index", f"WITH {GRID_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY slot) AS i FROM rain) SELECT a.user_id, a.slot::VARCHAR AS slot, round(sum(pow(0.9, a.i - b.i) * b.v), 4) AS api FROM n a JOIN n b ON a.user_id = b.user_id AND b.i BETWEEN a.i - 239 AND a.i GROUP BY ALL")
 def decayed_index(t: Tables) -> DataFrame:
-    return T.decayed_sum(rain(t), "user_id", "slot", "v", 0.9, 48).select("user_id", F.col("slot").cast("string").alias("slot"), R("decayed", 4).alias("api"))
+    return T.decayed_sum(rain(t), "user_id", "slot", "v", 0.9, 240).select("user_id", F.col("slot").cast("string").alias("slot"), R("decayed", 4).alias("api"))
 
 
 @query("wn7_missing_slots", f"WITH {GRID_SQL} SELECT g.user_id, count(*) AS missing FROM grid g LEFT JOIN (SELECT DISTINCT user_id, time_bucket(INTERVAL 30 MINUTE, ts) AS slot FROM events) e ON g.user_id = e.user_id AND g.slot = e.slot WHERE e.slot IS NULL GROUP BY 1")
 def missing_slots(t: Tables) -> DataFrame:
-    slots = T.slotted(t.events.where("user_id % 10 = 0"), "user_id", "ts", "value")
-    return T.missing_slots(slots, "user_id", "2024-01-01 00:00:00", "2024-01-04 23:30:00").groupBy("user_id").agg(F.count("*").alias("missing"))
+    slots = T.slotted(t.events, "user_id", "ts", "value")
+    return T.missing_slots(slots, "user_id", *T.span(t.events, "ts")).groupBy("user_id").agg(F.count("*").alias("missing"))
 
 
 @query("wn8_interval_end", "SELECT event_id, (time_bucket(INTERVAL 30 MINUTE, ts) + INTERVAL 30 MINUTE)::VARCHAR AS slot_end FROM events")
@@ -65,9 +63,9 @@ def interval_end(t: Tables) -> DataFrame:
     return t.events.select("event_id", (T.slot_of("ts") + F.expr("INTERVAL 30 MINUTES")).cast("string").alias("slot_end"))
 
 
-@query("wn9_window_slice", f"WITH {GRID_SQL} SELECT user_id, slot::VARCHAR AS slot, (70 - row_number() OVER (PARTITION BY user_id ORDER BY slot DESC))::INTEGER AS i, (-30 * (row_number() OVER (PARTITION BY user_id ORDER BY slot DESC) - 1))::INTEGER AS minutes FROM rain WHERE slot <= TIMESTAMP '2024-01-03 12:00:00' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY slot DESC) <= 70")
+@query("wn9_window_slice", f"WITH {GRID_SQL} SELECT user_id, slot::VARCHAR AS slot, (70 - row_number() OVER (PARTITION BY user_id ORDER BY slot DESC))::INTEGER AS i, (-30 * (row_number() OVER (PARTITION BY user_id ORDER BY slot DESC) - 1))::INTEGER AS minutes FROM rain WHERE slot <= TIMESTAMP '2024-01-28 12:00:00' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY slot DESC) <= 70")
 def window_slice(t: Tables) -> DataFrame:
-    return T.last_slots(rain(t), "user_id", "slot", "2024-01-03 12:00:00", 70).select("user_id", F.col("slot").cast("string").alias("slot"), F.col("index_in_window").alias("i"), "minutes")
+    return T.last_slots(rain(t), "user_id", "slot", "2024-01-28 12:00:00", 70).select("user_id", F.col("slot").cast("string").alias("slot"), F.col("index_in_window").alias("i"), "minutes")
 
 
 @query("wn10_keep_first", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1")

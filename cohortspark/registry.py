@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators.graph import durable
+
 Query = Callable[[SparkSession, str], DataFrame]
 PLANS = ("cohort", "scans", "projections", "joins", "aggregates", "windows", "matching", "representation", "scoring", "inference", "learners", "repair", "spatial", "streams")
 _QUERIES: dict[str, Query] = {}
@@ -18,6 +20,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
+        self._made: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
@@ -25,6 +28,13 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table that a query uses more than once: made and written at its first use, read at all."""
+        if name not in self._made:
+            self._made[name] = durable(make())
+        return self._made[name]
+
+
 def query(name: str, sql: str | None = None) -> Callable:
     """Registers a function of Tables as a query, with its DuckDB SQL."""
 

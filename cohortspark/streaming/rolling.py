@@ -13,8 +13,15 @@ def slot_sums(events: DataFrame, key: str, ts: str, value: str, late: str = "1 h
 
 
 def run_once(spark: SparkSession, path: str, schema: str, key: str, ts: str, value: str, out: str, checkpoint: str) -> DataFrame:
-    """Takes all files now in the folder through the stream and returns what was written."""
+    """Takes all files now in the folder through the stream and returns the sums, those of windows still open too.
+
+    In update mode each batch writes the windows that it changed, under its number; a window's sum is that of its last
+    batch. (In append mode the windows within the watermark's reach of the end would never be written.)"""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")  # a batch that is tried again writes the same
+
     stream = spark.readStream.schema(schema).parquet(path)
-    q = slot_sums(stream, key, ts, value).writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(out)
+    q = slot_sums(stream, key, ts, value).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).groupBy(key, "slot").agg(F.max_by("v", "batch").alias("v"))
