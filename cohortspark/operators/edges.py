@@ -10,21 +10,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def caliper_join(cases: DataFrame, pool: DataFrame, blocks: Sequence[str], calipers: Mapping[str, float], band: str | None = None) -> DataFrame:
+def caliper_join(cases: DataFrame, pool: DataFrame, blocks: Sequence[str], calipers: Mapping[str, float], bands: Sequence[str] = ()) -> DataFrame:
     """Pairs within all calipers inside equal blocks; columns p_x of the case and c_x of the candidate.
 
-    The band column's caliper becomes part of the equality: candidates lie in bands as wide as the caliper, cases look
-    into three of them. So a block, of which there may be few, is no single join key however many rows it has."""
+    The calipers of the columns in bands become part of the equality: candidates lie in cells as wide as the calipers,
+    cases look into three cells of each, 3 ** len(bands) in all. So a block, of which there may be few, is no single
+    join key however many rows it has, and keys grow in number with the fields' ranges."""
     p = cases.select(*[F.col(c).alias(f"p_{c}") for c in cases.columns])
     c = pool.select(*[F.col(x).alias(f"c_{x}") for x in pool.columns])
     on = [F.col(f"p_{b}") == F.col(f"c_{b}") for b in blocks]
-    if band:
+    for band in bands:
         width = F.lit(float(calipers[band]))
-        p = p.withColumn("_near", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda o: F.floor(F.col(f"p_{band}") / width) + o)))
-        c = c.withColumn("_band", F.floor(F.col(f"c_{band}") / width))
-        on.append(F.col("_near") == F.col("_band"))
+        p = p.withColumn(f"_near_{band}", F.explode(F.array(*[F.floor(F.col(f"p_{band}") / width) + o for o in (-1, 0, 1)])))
+        c = c.withColumn(f"_band_{band}", F.floor(F.col(f"c_{band}") / width))
+        on.append(F.col(f"_near_{band}") == F.col(f"_band_{band}"))
     near = [F.abs(F.col(f"p_{k}") - F.col(f"c_{k}")) <= v for k, v in calipers.items()]
-    return p.join(c, reduce(and_, [*on, *near])).drop("_near", "_band")
+    return p.join(c, reduce(and_, [*on, *near])).drop(*[f"_{x}_{b}" for b in bands for x in ("near", "band")])
+
+
+def counts_within(cases: DataFrame, pool: DataFrame, key: str, blocks: Sequence[str], value: str, width: float) -> DataFrame:
+    """(key, n): the candidates of each case's block whose value is at most width away. Cases ask at both ends of their
+    interval, and running counts of the pool answer, in ranges; pairs are never made."""
+    from .metrics import running
+
+    at = lambda x, kind: F.struct(x.alias("x"), F.lit(kind).alias("kind")).alias("o")
+    none = F.lit(None).cast(dict(cases.dtypes)[key]).alias(key)
+    ends = F.explode(F.array(at(F.col(value) - width, 0), at(F.col(value) + width, 2))).alias("o")
+    rows = pool.select(*blocks, none, at(F.col(value) + 0, 1), F.lit(1.0).alias("k")).unionByName(cases.select(*blocks, key, ends, F.lit(0.0).alias("k")))
+    run = running(rows, "o", ["k"], blocks).where(F.col(key).isNotNull())
+    return run.groupBy(key).agg((F.sum(F.when(F.col("o.kind") == 2, F.col("before_k")).otherwise(-F.col("before_k")))).cast("long").alias("n"))
 
 
 def checked_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", validate: str = "many_to_one") -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .statistics import quantiles
+
 
 def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
@@ -68,14 +70,9 @@ def threshold_rule(df: DataFrame, features: Sequence[str], label: str) -> DataFr
 
     All candidates are tried in one pass over the rows."""
     probs = [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95]
-    q = df.agg(*[F.array_distinct(F.percentile(c, F.array(*map(F.lit, probs)))).alias(c) for c in features])
-    each = []
-    for c in features:
-        x = df.select(F.lit(c).alias("feature"), F.col(c).alias("x"), F.col(label).alias("y")).join(F.broadcast(q.select(F.explode(c).alias("threshold"))))
-        each.append(x)
-    long = each[0]
-    for x in each[1:]:
-        long = long.unionByName(x)
+    found = quantiles(df, {c: F.col(c) for c in features}, probs)
+    rules = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"), F.lit(q).alias("threshold")) for c in features for q in sorted({q for q in found[c] if q is not None})]
+    long = df.select(F.col(label).alias("y"), F.explode(F.array(*rules)).alias("r")).select("y", "r.*")
     hit, y = F.col("x") >= F.col("threshold"), F.col("y") == 1
     r = long.groupBy("feature", "threshold").agg(F.count_if(hit & y).alias("tp"), F.count_if(hit & ~y).alias("fp"), F.count_if(y).alias("p"), F.count_if(~y).alias("n"))
     youden = F.col("tp") / F.nullif("p", F.lit(0)) - F.col("fp") / F.nullif("n", F.lit(0))

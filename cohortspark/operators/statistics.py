@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .graph import ranged
+from .metrics import running
 
 
 def unbiased_skewness(c: str) -> Column:
@@ -16,33 +17,46 @@ def unbiased_skewness(c: str) -> Column:
     return F.when(n > 2, F.skewness(c) * F.sqrt(n * (n - 1)) / (n - 2))
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: Mapping[str, float], accuracy: int = 1000) -> DataFrame:
-    """One row of exact quantiles (linear interpolation) of a whole column, whatever its size.
+def quantiles(df: DataFrame, columns: Mapping[str, Column], probs: Sequence[float], accuracy: int = 1000) -> dict[str, list[float | None]]:
+    """Exact quantiles (linear interpolation) of whole columns, whatever their size; nulls and NaN are left out.
 
     A sketch brackets each quantile; one pass counts what lies below each bracket, and only the few values inside are
-    counted up exactly. percentile() alone would hold all distinct values in one task."""
-    x = df.select(F.col(col).cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
-    step = 3.0 / accuracy
-    ends = sorted({max(0.0, p - step) for p in probs.values()} | {min(1.0, p + step) for p in probs.values()})
-    sketch = dict(zip(ends, x.agg(F.percentile_approx("x", ends, accuracy)).first()[0] or [None] * len(ends), strict=True))
-    n = x.count()
-    out = []
-    for name, p in probs.items():
-        lo, hi = sketch[max(0.0, p - step)], sketch[min(1.0, p + step)]
-        if lo is None:
-            out.append(x.agg(F.lit(None).cast("double").alias(name)))
-            continue
-        below = x.where(F.col("x") < lo).agg(F.count("*").alias("below"))
-        counts = x.where(F.col("x").between(lo, hi)).groupBy("x").agg(F.count("*").alias("k"))
-        run = counts.withColumn("upto", F.sum("k").over(Window.orderBy("x"))).join(F.broadcast(below))
-        at = p * (n - 1)
-        value = lambda i: F.min(F.when(F.col("below") + F.col("upto") > i, F.col("x")))  # noqa: E731, B023
-        a, b = value(int(at)), value(min(int(at) + 1, n - 1))
-        out.append(run.agg((a + (b - a) * (at - int(at))).alias(name)))
-    result = out[0]
-    for o in out[1:]:
-        result = result.join(F.broadcast(o))
-    return result
+    counted up exactly, in ranges (running). percentile() alone would hold all distinct values in one task. The driver
+    gets two numbers for each column and quantile."""
+    names, step = list(columns), 3.0 / accuracy
+    x = df.select(*[F.nanvl(c.cast("double"), F.lit(None).cast("double")).alias(f"x{i}") for i, c in enumerate(columns.values())])
+    ends = sorted({max(0.0, p - step) for p in probs} | {min(1.0, p + step) for p in probs})
+    seen = x.agg(*[F.struct(F.count(c).alias("n"), F.percentile_approx(c, ends, accuracy).alias("q")).alias(c) for c in x.columns]).first()
+    targets, below, inside = [], [], []
+    for i, c in enumerate(x.columns):
+        sketch = dict(zip(ends, seen[c]["q"] or [], strict=False))
+        for j, p in enumerate(probs):
+            if sketch:
+                lo, hi = sketch[max(0.0, p - step)], sketch[min(1.0, p + step)]
+                low = int(p * (seen[c]["n"] - 1))
+                targets.append((i, j, low, min(low + 1, seen[c]["n"] - 1)))
+                below.append(F.count_if(F.col(c) < lo))
+                inside.append(F.when(F.col(c).between(lo, hi), F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(c).alias("x"))))
+    if not targets:
+        return {n: [None] * len(probs) for n in names}
+    less = x.agg(F.array(*below)).first()[0]
+    counts = x.select(F.explode(F.array(*inside)).alias("v")).where("v is not null").groupBy("v.i", "v.j", "v.x").agg(F.count("*").cast("double").alias("k"))
+    wanted = df.sparkSession.createDataFrame([(*t, float(b)) for t, b in zip(targets, less, strict=True)], "i int, j int, low long, high long, less double")
+    run = running(counts, "x", ["k"], ["i", "j"]).join(F.broadcast(wanted), ["i", "j"])  # a row for each column and quantile
+    at = lambda k: F.min(F.when(F.col("less") + F.col("before_k") + F.col("k") > F.col(k), F.col("x")))
+    found = {(r["i"], r["j"]): (r["a"], r["b"]) for r in run.groupBy("i", "j").agg(at("low").alias("a"), at("high").alias("b")).collect()}
+    out: dict[str, list[float | None]] = {}
+    for i, name in enumerate(names):
+        n = seen[f"x{i}"]["n"]
+        part = lambda p, n=n: p * (n - 1) - int(p * (n - 1))
+        out[name] = [found[i, j][0] + (found[i, j][1] - found[i, j][0]) * part(p) if n else None for j, p in enumerate(probs)]
+    return out
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: Mapping[str, float], accuracy: int = 1000) -> DataFrame:
+    """One row of quantiles of a column."""
+    found = quantiles(df, {col: F.col(col)}, list(probs.values()), accuracy)[col]
+    return df.sparkSession.createDataFrame([tuple(found)], ", ".join(f"{n} double" for n in probs))
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -97,10 +111,10 @@ def wasserstein(shares: DataFrame) -> DataFrame:
 def psi(df: DataFrame, value: str, arm: str, bins: int = 10, clip: float = 1e-6) -> DataFrame:
     """Population stability index against arm 1's quantile bins (repeated edges dropped, ends open), shares clipped and
     brought back to sum 1."""
-    probs = [i / bins for i in range(bins + 1)]
-    edges = df.where(F.col(arm) == 1).agg(F.array_sort(F.array_distinct(F.percentile(value, F.array(*map(F.lit, probs))))).alias("e"))
-    inner = F.slice("e", 2, F.greatest(F.size("e") - 2, F.lit(0)))
-    binned = df.select(arm, value).join(F.broadcast(edges)).select(arm, F.size(F.filter(inner, lambda x: x < F.col(value))).alias("bin"), (F.size(inner) + 1).alias("k"))
+    found = quantiles(df.where(F.col(arm) == 1), {value: F.col(value)}, [i / bins for i in range(bins + 1)])[value]
+    inner = sorted({e for e in found if e is not None})[1:-1]
+    at = sum(((F.col(value) > e).cast("int") for e in inner), F.lit(0))
+    binned = df.where(F.col(value).isNotNull()).select(arm, at.alias("bin"), F.lit(len(inner) + 1).alias("k"))
     counts = binned.groupBy("bin", "k").agg(F.count_if(F.col(arm) == 1).alias("a"), F.count_if(F.col(arm) == 0).alias("b"))
     all_bins = counts.select("k").distinct().select(F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("bin")).join(counts, "bin", "left")
     whole = Window.partitionBy()  # as many rows as bins

@@ -103,7 +103,7 @@ def scaled(t: Tables) -> DataFrame:
 def edges(t: Tables) -> DataFrame:
     z = scaled(t).select("unit_id", *FEATURES, *[f"z_{c}" for c in FEATURES], "segment", "status", "y")
     cases, pool = z.where("y = 1").drop("y"), z.where("y = 0").drop("y")
-    e = caliper_join(cases, pool, ("segment", "status"), CALIPERS, band="day")
+    e = caliper_join(cases, pool, ("segment", "status"), CALIPERS, bands=FEATURES)
     e = e.withColumns({f"d_{c}": F.abs(F.col(f"p_z_{c}") - F.col(f"c_z_{c}")) for c in FEATURES})
     dist = F.round(weighted({c: (F.col(f"d_{c}"), w) for c, w in WEIGHTS.items()}), 9)
     return e.withColumn("dist", dist).select("p_unit_id", "c_unit_id", *[f"d_{c}" for c in FEATURES], F.col("p_segment").alias("segment"), F.col("p_status").alias("status"), "dist")

@@ -60,7 +60,7 @@ def hierarchical_block(t: Tables) -> DataFrame:
 
     b = F.when(F.col("segment").isin("AUTOMOBILE", "MACHINERY"), "HEAVY").otherwise(F.col("segment"))
     u = units(t).select("unit_id", "price", "nation", "y", b.alias("b"))
-    return caliper_join(u.where("y = 1"), u.where("y = 0"), ("b", "nation"), {"price": 5000.0}, band="price").select("p_unit_id", "c_unit_id")
+    return caliper_join(u.where("y = 1"), u.where("y = 0"), ("b", "nation"), {"price": 5000.0}, bands=("price",)).select("p_unit_id", "c_unit_id")
 
 
 POINTS_SQL = "points AS (SELECT c_custkey AS k, c_acctbal AS x, (c_custkey * 7919 % 10007)::DOUBLE AS y FROM customer)"

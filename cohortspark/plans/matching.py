@@ -162,24 +162,29 @@ def registry_counts(t: Tables) -> DataFrame:
     return units(t).agg(F.count("*").alias("units"), F.sum("y").alias("cases"), F.count_distinct("nation").alias("nations"), F.count_distinct("customer").alias("customers"), F.count_if((F.col("y") == 1) & (F.col("status") == "F")).alias("finished_cases"))
 
 
-@query("mg20_binding_rule", f"WITH {UNITS_SQL}, b AS (SELECT p.unit_id, count(*) FILTER (abs(p.price - c.price) <= 20000) AS price, count(*) FILTER (abs(p.bal - c.bal) <= 1500) AS bal, count(*) FILTER (abs(p.day - c.day) <= 200) AS day FROM units p JOIN units c ON p.segment = c.segment AND p.status = c.status AND p.nation = c.nation AND p.y = 1 AND c.y = 0 GROUP BY 1) SELECT unit_id, CASE WHEN bal <= day AND bal <= price THEN 'bal' WHEN day <= price THEN 'day' ELSE 'price' END AS rule, least(price, bal, day) AS passed FROM b")
+@query("mg20_binding_rule", f"WITH {UNITS_SQL}, r AS (SELECT *, round(price * 100)::BIGINT AS pc, round(bal * 100)::BIGINT AS bc FROM units), b AS (SELECT p.unit_id, count(*) FILTER (abs(p.pc - c.pc) <= 2000000) AS price, count(*) FILTER (abs(p.bc - c.bc) <= 150000) AS bal, count(*) FILTER (abs(p.day - c.day) <= 200) AS day FROM r p JOIN r c ON p.segment = c.segment AND p.status = c.status AND p.nation = c.nation AND p.y = 1 AND c.y = 0 GROUP BY 1) SELECT unit_id, CASE WHEN bal <= day AND bal <= price THEN 'bal' WHEN day <= price THEN 'day' ELSE 'price' END AS rule, least(price, bal, day) AS passed FROM b")
 def binding_rule(t: Tables) -> DataFrame:
-    from ..operators.edges import caliper_join
+    """Of three rules, that which the fewest candidates of a case's block pass; cases with a candidate in their block."""
+    from ..operators.edges import counts_within
 
-    u = units(t).select("unit_id", "segment", "status", "nation", "y", *FEATURES)
-    pairs = caliper_join(u.where("y = 1"), u.where("y = 0"), ("segment", "status", "nation"), {})
-    near = {"price": 20000, "bal": 1500, "day": 200}
-    n = pairs.groupBy("p_unit_id").agg(*[F.count_if(F.abs(F.col(f"p_{k}") - F.col(f"c_{k}")) <= v).alias(k) for k, v in near.items()])
-    least = F.array_min(F.array(*[F.struct(F.col(k).alias("n"), F.lit(k).alias("rule")) for k in near]))
-    return n.select(F.col("p_unit_id").alias("unit_id"), least.alias("l")).select("unit_id", "l.rule", F.col("l.n").alias("passed"))
+    block = ["segment", "status", "nation"]
+    cents = lambda c: F.round(F.col(c) * 100).cast("long").alias(c)
+    u = t.once("rules", lambda: units(t).select("unit_id", *block, "y", cents("price"), cents("bal"), F.col("day").cast("long").alias("day")))
+    cases, pool = u.where("y = 1"), u.where("y = 0")
+    n = cases.join(pool.select(*block).distinct(), block, "left_semi").select("unit_id")
+    for k, width in (("price", 2_000_000), ("bal", 150_000), ("day", 200)):
+        n = n.join(counts_within(cases, pool, "unit_id", block, k, width).withColumnRenamed("n", k), "unit_id")
+    least = F.array_min(F.array(*[F.struct(F.col(k).alias("n"), F.lit(k).alias("rule")) for k in FEATURES]))
+    return n.select("unit_id", least.alias("l")).select("unit_id", "l.rule", F.col("l.n").alias("passed"))
 
 
-@query("mg22_reuse_audit", f"WITH {SETS_SQL}, m AS (SELECT set_id, unit_id FROM sets WHERE slot > 0) SELECT a.unit_id, a.set_id AS first_set, b.set_id AS second_set, round(abs(p.price - q.price), 4) AS price_gap FROM m a JOIN m b ON a.unit_id = b.unit_id AND a.set_id < b.set_id JOIN units p ON p.unit_id = a.set_id JOIN units q ON q.unit_id = b.set_id")
+@query("mg22_reuse_audit", f"WITH {SETS_SQL}, m AS (SELECT unit_id, set_id AS first_set, lead(set_id) OVER (PARTITION BY unit_id ORDER BY set_id) AS second_set FROM sets WHERE slot > 0) SELECT m.unit_id, first_set, second_set, round(abs(p.price - q.price), 4) AS price_gap FROM m JOIN units p ON p.unit_id = first_set JOIN units q ON q.unit_id = second_set")
 def reuse_audit(t: Tables) -> DataFrame:
-    m = sets(t).where("slot > 0").select("set_id", "unit_id")
-    pairs = m.withColumnRenamed("set_id", "first_set").join(m.withColumnRenamed("set_id", "second_set"), "unit_id").where("first_set < second_set")
+    """Each use of a control with its next use: a row per further use, which with two uses at most are all pairs."""
+    after = F.lead("set_id").over(Window.partitionBy("unit_id").orderBy("set_id"))
+    m = sets(t).where("slot > 0").select("unit_id", F.col("set_id").alias("first_set"), after.alias("second_set")).where("second_set is not null")
     price = lambda k: units(t).select(F.col("unit_id").alias(k), F.col("price").alias(f"p_{k}"))
-    both = pairs.join(price("first_set"), "first_set").join(price("second_set"), "second_set")
+    both = m.join(price("first_set"), "first_set").join(price("second_set"), "second_set")
     return both.select("unit_id", "first_set", "second_set", R(F.abs(F.col("p_first_set") - F.col("p_second_set")), 4).alias("price_gap"))
 
 

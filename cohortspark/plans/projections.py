@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators.statistics import quantiles
 from ..registry import Tables, query
 from .cohort import MEMBERS_SQL, SETSCORE_SQL, UNITS_SQL, set_scores, units
 
@@ -111,9 +112,9 @@ def fixed_bins(t: Tables) -> DataFrame:
     "WITH e AS (SELECT list_sort(list_distinct(quantile_cont(c_acctbal, [0.0, 0.25, 0.5, 0.75, 1.0]))) AS edges FROM customer) SELECT c_custkey, CASE WHEN c_acctbal IS NULL THEN 'NA' ELSE 'Q' || greatest(1, len(list_filter(edges, lambda x: x < c_acctbal))) END AS bin FROM customer, e",
 )
 def quantile_bins(t: Tables) -> DataFrame:
-    edges = t.customer.agg(F.array_sort(F.array_distinct(F.percentile("c_acctbal", F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))))).alias("edges"))
-    df = t.customer.select("c_custkey", "c_acctbal").join(F.broadcast(edges))  # one row
-    below = F.greatest(F.lit(1), F.size(F.filter("edges", lambda x: x < F.col("c_acctbal"))))
+    found = quantiles(t.customer, {"x": F.col("c_acctbal")}, [0.0, 0.25, 0.5, 0.75, 1.0])["x"]
+    df = t.customer.select("c_custkey", "c_acctbal")
+    below = F.greatest(F.lit(1), sum(((F.col("c_acctbal") > e).cast("int") for e in sorted(set(found))), F.lit(0)))
     return df.select("c_custkey", F.when(F.col("c_acctbal").isNull(), "NA").otherwise(F.concat(F.lit("Q"), below.cast("string"))).alias("bin"))
 
 
@@ -122,10 +123,11 @@ def quantile_bins(t: Tables) -> DataFrame:
     "WITH q AS (SELECT quantile_cont(o_totalprice, [0.05, 0.25, 0.5, 0.5, 0.75, 0.95]) AS v FROM orders) SELECT round(value, 4) AS threshold, string_agg(name, '|' ORDER BY name) AS sources FROM (SELECT unnest(v) AS value, unnest(['q05', 'q25', 'q50', 'q50b', 'q75', 'q95']) AS name FROM q) GROUP BY 1",
 )
 def thresholds(t: Tables) -> DataFrame:
-    names = ["q05", "q25", "q50", "q50b", "q75", "q95"]
-    q = t.orders.agg(F.percentile("o_totalprice", F.array(*map(F.lit, (0.05, 0.25, 0.5, 0.5, 0.75, 0.95)))).alias("v"))
-    each = q.select(F.explode(F.arrays_zip(F.col("v"), F.array(*map(F.lit, names)).alias("n"))).alias("z"))
-    return each.groupBy(F.round("z.v", 4).alias("threshold")).agg(F.array_join(F.array_sort(F.collect_set("z.n")), "|").alias("sources"))
+    probs = {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q50b": 0.5, "q75": 0.75, "q95": 0.95}
+    found = quantiles(t.orders, {"x": F.col("o_totalprice")}, sorted(set(probs.values())))["x"]
+    at = dict(zip(sorted(set(probs.values())), found, strict=True))
+    each = t.spark.createDataFrame([(n, at[p]) for n, p in probs.items()], "n string, v double")
+    return each.groupBy(F.round("v", 4).alias("threshold")).agg(F.array_join(F.array_sort(F.collect_set("n")), "|").alias("sources"))
 
 
 @query("pr18_fold_roles", f"WITH {UNITS_SQL} SELECT unit_id, outer_fold, CASE WHEN unit_id % 5 = outer_fold THEN 'test' WHEN unit_id % 5 = (outer_fold + 1) % 5 THEN 'validation' ELSE 'train' END AS role FROM units, (SELECT unnest(range(5)) AS outer_fold)")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import sigmoid
 from ..operators import metrics as M
+from ..operators.statistics import quantiles
 from ..registry import Tables, query
 from .cohort import MEMBERS_SQL, SETSCORE_SQL, scores, set_scores
 
@@ -38,9 +39,9 @@ def average_precision(t: Tables) -> DataFrame:
 
 @query("me4_margins", f"WITH {SETSCORE_SQL} SELECT count(*) AS n, round(min(g), 6) AS lo, round(avg(g), 6) AS mean, round(quantile_cont(g, 0.25), 6) AS q1, round(quantile_cont(g, 0.75), 6) AS q3 FROM (SELECT ctx_p - greatest(ctx_1, ctx_2) AS g FROM setscore)")
 def margins(t: Tables) -> DataFrame:
-    g = M.set_outcomes(scores(t), "ctx")
-    q = F.percentile("margin", F.array(F.lit(0.25), F.lit(0.75)))
-    return g.agg(F.count("*").alias("n"), R(F.min("margin"), 6).alias("lo"), R(F.avg("margin"), 6).alias("mean"), R(q[0], 6).alias("q1"), R(q[1], 6).alias("q3"))
+    g = t.once("margins", lambda: M.set_outcomes(scores(t), "ctx"))
+    q1, q3 = quantiles(g, {"margin": F.col("margin")}, [0.25, 0.75])["margin"]
+    return g.agg(F.count("*").alias("n"), R(F.min("margin"), 6).alias("lo"), R(F.avg("margin"), 6).alias("mean"), R(F.lit(q1), 6).alias("q1"), R(F.lit(q3), 6).alias("q3"))
 
 
 @query("me5_confusion", f"WITH {MEMBERS_SQL}, p AS (SELECT y, 1 / (1 + exp(-ctx)) AS p FROM scores), c AS (SELECT count(*) FILTER (p >= 0.5 AND y = 1) AS tp, count(*) FILTER (p >= 0.5 AND y = 0) AS fp, count(*) FILTER (p < 0.5 AND y = 0) AS tn, count(*) FILTER (p < 0.5 AND y = 1) AS fn, avg((p - y) ** 2) AS brier FROM p) SELECT tp, fp, tn, fn, round(brier, 6) AS brier, round(tp / (tp + fn)::DOUBLE, 6) AS sensitivity, round(tn / (tn + fp)::DOUBLE, 6) AS specificity, round(2 * tp / (2 * tp + fp + fn)::DOUBLE, 6) AS f1 FROM c")
@@ -84,12 +85,12 @@ def consensus(t: Tables) -> DataFrame:
 
 @query("me10_block_audit", f"WITH {SETSCORE_SQL}, u AS (SELECT s.*, x.price, x.bal FROM setscore s JOIN scores x ON x.set_id = s.set_id AND x.slot = 0), q AS (SELECT quantile_cont(price, 0.5) AS pm, quantile_cont(bal, 0.5) AS bm FROM u) SELECT 'P' || (1 + (price > pm)::INTEGER) || '_B' || (1 + (bal > bm)::INTEGER) AS block, count(*) AS n, round(avg({STRICT.format(a='raw')}), 6) AS raw_strict, round(avg({STRICT.format(a='ctx')}), 6) AS ctx_strict FROM u, q GROUP BY 1")
 def block_audit(t: Tables) -> DataFrame:
-    u = set_scores(t).join(scores(t).where("slot = 0").select("set_id", "price", "bal"), "set_id")
-    q = u.agg(F.percentile("price", F.lit(0.5)).alias("pm"), F.percentile("bal", F.lit(0.5)).alias("bm"))
-    half = lambda c, m: (1 + (F.col(c) > F.col(m)).cast("int")).cast("string")
+    u = t.once("cases", lambda: set_scores(t).join(scores(t).where("slot = 0").select("set_id", "price", "bal"), "set_id"))
+    middle = {c: q[0] for c, q in quantiles(u, {c: F.col(c) for c in ("price", "bal")}, [0.5]).items()}
+    half = lambda c: (1 + (F.col(c) > F.lit(middle[c])).cast("int")).cast("string")
     strict = lambda a: R(F.avg((F.col(f"{a}_p") > F.greatest(f"{a}_1", f"{a}_2")).cast("int")), 6)
-    block = F.concat(F.lit("P"), half("price", "pm"), F.lit("_B"), half("bal", "bm"))
-    return u.join(F.broadcast(q)).groupBy(block.alias("block")).agg(F.count("*").alias("n"), strict("raw").alias("raw_strict"), strict("ctx").alias("ctx_strict"))
+    block = F.concat(F.lit("P"), half("price"), F.lit("_B"), half("bal"))
+    return u.groupBy(block.alias("block")).agg(F.count("*").alias("n"), strict("raw").alias("raw_strict"), strict("ctx").alias("ctx_strict"))
 
 
 @query("me11_reproduction_audit", f"WITH {SETSCORE_SQL}, a AS (SELECT avg({STRICT.format(a='ctx')}) AS v FROM setscore) SELECT round(v, 6) AS reported, abs(round(v, 6) - v) <= 1e-6 AS reproduced FROM a")
