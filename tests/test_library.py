@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortspark.functions import scalars as S
-from cohortspark.operators import assign, context, edges, metrics, spatial, statistics
-from cohortspark.operators.bootstrap import draw_counts
+from cohortspark.operators import assign, context, edges, metrics, spatial, statistics, temporal
+from cohortspark.operators.bootstrap import draw_counts, paired_bootstrap
 from cohortspark.operators.graph import connected_components
+from cohortspark.operators.skew import split_join
 
 
 def graph_of(spark, pairs):
@@ -48,6 +49,29 @@ def best_support(pairs):
     return best, cheapest
 
 
+def test_auction_against_the_exact_solvers(spark):
+    """One component by rounds over all tasks: legal, no candidate twice, and as good as the exact methods within the step."""
+    rng = random.Random(3)
+    pairs = sorted({(p, 100 + c): rng.randint(1, 40) / 10 for p in range(12) for c in range(20) if rng.random() < 0.25}.items())
+    g = graph_of(spark, [(p, c, x) for (p, c), x in pairs]).cache()
+    legal = {k: x for k, x in pairs}
+    exact, rounds = (assign.maximum_flow(g, 2, 1, n).collect() for n in (10**6, 0))
+    assert len({r.c for r in rounds}) == len(rounds) and {(r.p, r.c) for r in rounds} <= set(legal)
+    assert len(exact) - 0.05 * 24 <= len(rounds) <= len(exact)
+    support = assign.common_support(g).cache()
+    best = assign.cheapest_assignment(g, support).collect()
+    near = assign.cheapest_assignment(g, support, largest=0, step=0.01).collect()
+    assert len(near) == len(best) and len({r.c for r in near}) == len(near) and all(legal[r.p, r.c] == r.cost for r in near)
+    assert sum(r.cost for r in near) <= sum(r.cost for r in best) + 0.01 * len(best) + 1e-9
+    by_rounds = assign.common_support(g, largest=0).collect()
+    assert len({r.p for r in by_rounds}) == len(by_rounds) and support.count() - 2 <= len(by_rounds) <= support.count()
+    slots = spark.createDataFrame([(r.p, i, None if r.c % 3 == 0 else r.c) for i, r in enumerate(best)], "p long, rank int, c long")
+    fixed = assign.repaired(slots, g, largest=0).collect()
+    used = [r.new for r in fixed if r.new is not None]
+    assert len(fixed) == len(best) and len(set(used)) == len(used) and all(r.old in (None, r.new) for r in fixed)
+    assert all((r.p, r.new) in legal for r in fixed if r.new is not None) and sum(r.new is None for r in fixed) <= sum(r.old is None for r in fixed)
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_support_and_cost_by_brute_force(seed):
     rng = random.Random(seed)
@@ -135,9 +159,66 @@ def test_checked_join_fails_on_repeated_keys(spark):
     assert edges.checked_join(a, b, ["k"], validate="one_to_many").count() == 2
 
 
-def test_draws_are_n_per_replicate(spark):
-    got = draw_counts(spark.range(20).withColumnRenamed("id", "k"), "k", 5, 3).groupBy("b").agg(F.sum("times")).collect()
-    assert sorted(r[1] for r in got) == [20] * 5
+def test_bootstrap_draws_and_interval(spark):
+    """Counts by the definition, of mean 1, and a normal interval for a plain mean."""
+    import hashlib
+    import math
+
+    got = {(r.k, r.b): r.times for r in draw_counts(spark.range(300).withColumnRenamed("id", "k"), "k", 30, 3).collect()}
+    cdf = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12)]
+    for k in range(300):
+        for b in range(30):
+            h = hashlib.md5(f"3:{b // 8}:{k}".encode()).hexdigest()
+            u = int(h[4 * (b % 8) : 4 * (b % 8) + 4], 16)
+            assert got.get((k, b), 0) == sum(u >= round(65536 * c) for c in cdf if round(65536 * c) < 65536)
+    assert abs(sum(got.values()) / 9000 - 1) < 0.05
+    rng = random.Random(1)
+    d = [rng.gauss(0.3, 1) for _ in range(400)]
+    r = paired_bootstrap(spark.createDataFrame([(i, 0.0, x) for i, x in enumerate(d)], "k long, a double, b double"), "k", "a", "b", 2000).first()
+    mean, half = sum(d) / 400, 1.96 * (sum((x - sum(d) / 400) ** 2 for x in d) / 400) ** 0.5 / 20
+    assert r.replicates == 2000 and r.observed == pytest.approx(mean) and r.low == pytest.approx(mean - half, abs=0.03) and r.high == pytest.approx(mean + half, abs=0.03)
+
+
+def test_quantiles_in_ranges(spark):
+    import numpy as np
+
+    rng = random.Random(2)
+    x = [rng.gauss(0, 1) for _ in range(3000)] + [0.5] * 2000 + [float("nan"), None]
+    df = spark.createDataFrame([(v, i % 3) for i, v in enumerate(x)], "x double, y long").repartition(5)
+    probs = [0.0, 0.05, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = statistics.quantiles(df, {"x": F.col("x"), "y": F.col("y"), "none": F.lit(None)}, probs)
+    fine = [v for v in x if v is not None and v == v]
+    assert got["x"] == pytest.approx(np.quantile(fine, probs)) and got["y"] == pytest.approx(np.quantile([i % 3 for i in range(len(x))], probs)) and got["none"] == [None] * 7
+
+
+def test_decayed_sums_by_the_definition(spark):
+    rng = random.Random(4)
+    v = {k: [rng.random() for _ in range(n)] for k, n in (("a", 37), ("b", 5))}
+    df = spark.createDataFrame([(k, i, x) for k, xs in v.items() for i, x in enumerate(xs)], "k string, i long, v double")
+    for r in temporal.decayed_sum(df, "k", "i", "v", 0.8, 8).collect():
+        assert r.decayed == pytest.approx(sum(0.8 ** (r.i - j) * v[r.k][j] for j in range(max(0, r.i - 7), r.i + 1)))
+
+
+def test_split_join(spark):
+    rows = spark.createDataFrame([(0 if i < 2000 else i, i) for i in range(3000)] + [(None, -1)], "k long, v long").repartition(4)
+    facts = spark.createDataFrame([(k, str(k)) for k in range(0, 2500)], "k long, t string")
+    for how in ("inner", "left"):
+        want, got = (sorted((tuple(r) for r in x.select("k", "v", "t").collect()), key=repr) for x in (rows.join(facts, "k", how), split_join(rows, facts, "k", how)))
+        assert want == got
+
+
+def test_layouts(spark):
+    """792 and 2,446 values for static values of 92 and series of 70 x 10; a set's members deviate by its mean."""
+    import numpy as np
+
+    s, r = np.arange(3 * 92.0).reshape(3, 92), np.random.default_rng(0).normal(size=(3, 70, 10))
+    df = spark.createDataFrame([(7, i, s[i].tolist(), r[i].ravel().tolist()) for i in range(3)], "set_id long, u long, s array<double>, r array<double>")
+    rows = context.set_blocks(df, "set_id", "u", "s", "r", 10).select("u", *[context.variant(k).alias(k) for k in context.ABLATIONS]).collect()
+    assert [len(rows[0][k]) for k in context.ABLATIONS] == [792, 1584, 1584, 2376, 976, 2262, 2446]
+    for x in rows:
+        ds, dr = s[x.u] - s.mean(0), (r - r.mean(0))[x.u]
+        seven = np.concatenate([dr.mean(0), dr.std(0), dr.max(0), dr.min(0), dr.sum(0), dr[-1], np.abs(dr).max(0)])
+        assert x.A6 == pytest.approx(np.concatenate([s[x.u], ds, np.abs(ds), r[x.u].ravel(), dr.ravel(), np.abs(dr).ravel(), seven]))
 
 
 def test_scalars_with_nulls(spark):
