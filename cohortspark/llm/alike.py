@@ -107,8 +107,9 @@ def links(rows: DataFrame, text: str, size: int, least: float) -> DataFrame:
     """Pairs (a, b) of nodes whose texts have a similarity of `least` or more, enough of them to connect all that do.
 
     First each SimHash fingerprint's least node is compared with that of its smallest neighbour within 3 bits. Then, in
-    each of TURNS turns, each node of a bucket (texts that share a band) is compared with one node of it, another one
-    each turn, and buckets whose nodes are all connected are done. Then all nodes of a bucket that are still apart
+    each of TURNS turns, each node of a bucket (texts that share a band) is compared with one node of it, and buckets
+    whose nodes are all connected are done. In the first turn that is the node with the most others in all its buckets,
+    as the text that others were made from has, in later turns another one each time. Then all nodes of a bucket that are still apart
     are compared with each other. So a large group of near copies costs some comparisons per member, not one per pair.
     Texts are fetched for nodes that share a bucket or a SimHash neighbourhood only."""
     nodes = durable(rows.groupBy("_s.node", "_s.fp").agg(F.min("_uid").alias("_uid")))
@@ -117,8 +118,10 @@ def links(rows: DataFrame, text: str, size: int, least: float) -> DataFrame:
     side = lambda k: prints.withColumnsRenamed({"fp": k, "node": f"n{k}"})
     close = durable(by_print.join(side("a"), "a").join(side("b"), "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct())
     signed = rows.join(nodes.select("_uid"), "_uid", "left_semi").select("_s.node", "_s.n", F.explode("_s.bands").alias("key"))
-    shared = signed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    members = durable(signed.join(shared, "key", "left_semi").select("key", "node", "n"))
+    sized = signed.join(signed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key")
+    members = durable(sized.select("key", "node", "n", "c"))
+    fellows = members.groupBy("node").agg(F.sum("c").alias("c"))
+    members = durable(members.drop("c").join(fellows, "node").select("key", "node", "n", "c"))
     asked = members.select("node").union(close.select("a")).union(close.select("b")).distinct()
     wanted = nodes.join(asked, "node", "left_semi").select("_uid")
     texts = durable(rows.select("_uid", "_s.node", F.coalesce(text, F.lit("")).alias("_text")).join(wanted, "_uid", "left_semi").select("node", "_text"))
@@ -130,12 +133,13 @@ def links(rows: DataFrame, text: str, size: int, least: float) -> DataFrame:
         return durable(pairs.join(one, "a").join(two, "b").where(alike).select("a", "b"))
 
     def with_roots(members: DataFrame, found: DataFrame) -> DataFrame:
-        return members.select("key", "node", "n").join(connected_components(found), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+        return members.select("key", "node", "n", "c").join(connected_components(found), "node", "left").select("key", "node", "n", "c", F.coalesce("root", "node").alias("root"))
 
     found, tried = verified(close), close
     members = with_roots(members, found)
     for turn in range(TURNS):
-        first = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "root")).alias("first")
+        order = -F.col("c") if turn == 0 else F.xxhash64(F.lit(turn), "node")
+        first = F.min(F.struct(order.alias("order"), "node", "n", "root")).alias("first")
         buckets = members.groupBy("key").agg(first, F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").drop("lo", "hi")
         members = durable(members.join(buckets, "key"))
         apart = (F.col("root") != F.col("first.root")) & near(F.col("n"), F.col("first.n"))
