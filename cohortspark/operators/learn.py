@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -10,6 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import durable
 from .statistics import quantiles
 
 
@@ -36,33 +37,36 @@ def probability(model, df: DataFrame, out: str) -> DataFrame:
     return model.transform(df).withColumn(out, vector_to_array("probability")[1]).drop("probability", "rawPrediction", "prediction")
 
 
-def pu_bagging(df: DataFrame, key: str, label: str, bags: int = 5, depth: int = 6, seed: int = 7) -> DataFrame:
-    """df with score: the mean over trees, each fitted on all positives and as large a hash sample of the others, of
-    rows outside its sample (rows that were in every sample take the mean of all)."""
-    n = df.agg(F.avg(label)).first()[0] or 0.0
+def pu_bagging(train: DataFrame, key: str, label: str, bags: int = 5, depth: int = 6, seed: int = 7) -> Callable[[DataFrame], DataFrame]:
+    """A scorer: the mean over trees, each fitted on all positives and as large a hash sample of the others."""
+    n = train.agg(F.avg(label)).first()[0] or 0.0
     share = min(1.0, n / max(1e-9, 1 - n))
-    out = df.withColumns({"_sum": F.lit(0.0), "_n": F.lit(0), "_all": F.lit(0.0)})
+    trees = []
     for b in range(bags):
         drawn = (F.col(label) == 1) | (F.pmod(F.xxhash64(F.lit(seed), F.lit(b), key), F.lit(1_000_000)) < int(share * 1_000_000))
-        model = DecisionTreeClassifier(labelCol=label, maxDepth=depth, seed=seed + b).fit(df.where(drawn))
-        p = vector_to_array("probability")[1]
-        scored = model.transform(out)
-        free = (F.col(label) == 0) & ~drawn
-        out = scored.withColumns({"_sum": F.col("_sum") + F.when(free, p).otherwise(0.0), "_n": F.col("_n") + free.cast("int"), "_all": F.col("_all") + p}).drop("probability", "rawPrediction", "prediction")
-    return out.withColumn("score", F.when(F.col("_n") > 0, F.col("_sum") / F.col("_n")).otherwise(F.col("_all") / bags)).drop("_sum", "_n", "_all")
+        trees.append(DecisionTreeClassifier(labelCol=label, maxDepth=depth, seed=seed + b).fit(train.where(drawn)))
 
+    def score(df: DataFrame) -> DataFrame:
+        out = df.withColumn("_sum", F.lit(0.0))
+        for tree in trees:
+            out = tree.transform(out).withColumn("_sum", F.col("_sum") + vector_to_array("probability")[1]).drop("probability", "rawPrediction", "prediction")
+        return out.withColumn("score", F.col("_sum") / bags).drop("_sum")
 
-def spy_pu(df: DataFrame, key: str, label: str, spies: float = 0.15, quantile: float = 0.05, seed: int = 7) -> DataFrame:
-    """df with score: spies, a hash sample of the positives, join the unlabelled; what scores below almost all spies
-    counts as negative, and a balanced forest learns positives against these."""
+    return score
+
+
+def spy_pu(train: DataFrame, key: str, label: str, spies: float = 0.15, quantile: float = 0.05, seed: int = 7) -> Callable[[DataFrame], DataFrame]:
+    """A scorer: spies, a hash sample of the positives, join the unlabelled; what scores below almost all spies counts
+    as negative, and a balanced forest learns positives against these."""
     spy = (F.col(label) == 1) & (F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1000)) < int(spies * 1000))
-    first = df.withColumn("_l", F.when(spy, 0.0).otherwise(F.col(label).cast("double")))
-    scored = probability(elastic_net(first, "_l"), first, "_p")
-    cut = scored.where(spy).agg(F.percentile("_p", F.lit(quantile))).first()[0]
-    sure = scored.where((F.col(label) == 1) | (F.col("_p") < F.lit(cut if cut is not None else 0.0))).drop("_p", "_l")
+    first = train.withColumn("_l", F.when(spy, 0.0).otherwise(F.col(label).cast("double")))
+    scored = durable(probability(elastic_net(first, "_l"), first, "_p").withColumn("_spy", spy))
+    cut = quantiles(scored.where("_spy"), {"p": F.col("_p")}, [quantile])["p"][0]
+    sure = scored.where((F.col(label) == 1) | (F.col("_p") < F.lit(cut if cut is not None else 0.0))).drop("_p", "_l", "_spy")
     n = sure.agg(F.avg(label)).first()[0] or 0.5
     weighed = sure.withColumn("_w", F.when(F.col(label) == 1, 0.5 / n).otherwise(0.5 / max(1e-9, 1 - n)))
-    return probability(RandomForestClassifier(labelCol=label, weightCol="_w", numTrees=20, maxDepth=6, seed=seed).fit(weighed), df, "score")
+    model = RandomForestClassifier(labelCol=label, weightCol="_w", numTrees=20, maxDepth=6, seed=seed).fit(weighed)
+    return lambda df: probability(model, df, "score")
 
 
 def threshold_rule(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:

@@ -25,16 +25,17 @@ def quantiles(df: DataFrame, columns: Mapping[str, Column], probs: Sequence[floa
     gets two numbers for each column and quantile."""
     names, step = list(columns), 3.0 / accuracy
     x = df.select(*[F.nanvl(c.cast("double"), F.lit(None).cast("double")).alias(f"x{i}") for i, c in enumerate(columns.values())])
-    ends = sorted({max(0.0, p - step) for p in probs} | {min(1.0, p + step) for p in probs})
-    seen = x.agg(*[F.struct(F.count(c).alias("n"), F.percentile_approx(c, ends, accuracy).alias("q")).alias(c) for c in x.columns]).first()
+    count = x.agg(*[F.count(c).alias(c) for c in x.columns]).first().asDict()
+    # Brackets reach two rows farther than the sketch's error, as a quantile lies between two rows.
+    ends = {c: [e for p in probs for e in (max(0.0, p - step - 2 / max(n, 1)), min(1.0, p + step + 2 / max(n, 1)))] for c, n in count.items()}
+    seen = x.agg(*[F.percentile_approx(c, ends[c], accuracy).alias(c) for c in x.columns]).first()
     targets, below, inside = [], [], []
     for i, c in enumerate(x.columns):
-        sketch = dict(zip(ends, seen[c]["q"] or [], strict=False))
         for j, p in enumerate(probs):
-            if sketch:
-                lo, hi = sketch[max(0.0, p - step)], sketch[min(1.0, p + step)]
-                low = int(p * (seen[c]["n"] - 1))
-                targets.append((i, j, low, min(low + 1, seen[c]["n"] - 1)))
+            if count[c]:
+                lo, hi = seen[c][2 * j], seen[c][2 * j + 1]
+                low = int(p * (count[c] - 1))
+                targets.append((i, j, low, min(low + 1, count[c] - 1)))
                 below.append(F.count_if(F.col(c) < lo))
                 inside.append(F.when(F.col(c).between(lo, hi), F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(c).alias("x"))))
     if not targets:
@@ -47,7 +48,7 @@ def quantiles(df: DataFrame, columns: Mapping[str, Column], probs: Sequence[floa
     found = {(r["i"], r["j"]): (r["a"], r["b"]) for r in run.groupBy("i", "j").agg(at("low").alias("a"), at("high").alias("b")).collect()}
     out: dict[str, list[float | None]] = {}
     for i, name in enumerate(names):
-        n = seen[f"x{i}"]["n"]
+        n = count[f"x{i}"]
         part = lambda p, n=n: p * (n - 1) - int(p * (n - 1))
         out[name] = [found[i, j][0] + (found[i, j][1] - found[i, j][0]) * part(p) if n else None for j, p in enumerate(probs)]
     return out

@@ -52,19 +52,19 @@ def best_support(pairs):
 def test_auction_against_the_exact_solvers(spark):
     """One component by rounds over all tasks: legal, no candidate twice, and as good as the exact methods within the step."""
     rng = random.Random(3)
-    pairs = sorted({(p, 100 + c): rng.randint(1, 40) / 10 for p in range(12) for c in range(20) if rng.random() < 0.25}.items())
+    pairs = sorted({(p, 100 + c): rng.randint(1, 40) / 10 for p in range(5) for c in range(12) if rng.random() < 0.3}.items())
     g = graph_of(spark, [(p, c, x) for (p, c), x in pairs]).cache()
     legal = {k: x for k, x in pairs}
     exact, rounds = (assign.maximum_flow(g, 2, 1, n).collect() for n in (10**6, 0))
     assert len({r.c for r in rounds}) == len(rounds) and {(r.p, r.c) for r in rounds} <= set(legal)
-    assert len(exact) - 0.05 * 24 <= len(rounds) <= len(exact)
+    assert len(exact) - 0.05 * 10 <= len(rounds) <= len(exact)
     support = assign.common_support(g).cache()
     best = assign.cheapest_assignment(g, support).collect()
-    near = assign.cheapest_assignment(g, support, largest=0, step=0.01).collect()
+    near = assign.cheapest_assignment(g, support, largest=0, step=0.05).collect()
     assert len(near) == len(best) and len({r.c for r in near}) == len(near) and all(legal[r.p, r.c] == r.cost for r in near)
-    assert sum(r.cost for r in near) <= sum(r.cost for r in best) + 0.01 * len(best) + 1e-9
+    assert sum(r.cost for r in near) <= sum(r.cost for r in best) + 0.05 * len(best) + 1e-9
     by_rounds = assign.common_support(g, largest=0).collect()
-    assert len({r.p for r in by_rounds}) == len(by_rounds) and support.count() - 2 <= len(by_rounds) <= support.count()
+    assert len({r.p for r in by_rounds}) == len(by_rounds) and support.count() - 1 <= len(by_rounds) <= support.count()
     slots = spark.createDataFrame([(r.p, i, None if r.c % 3 == 0 else r.c) for i, r in enumerate(best)], "p long, rank int, c long")
     fixed = assign.repaired(slots, g, largest=0).collect()
     used = [r.new for r in fixed if r.new is not None]
@@ -187,6 +187,9 @@ def test_quantiles_in_ranges(spark):
     df = spark.createDataFrame([(v, i % 3) for i, v in enumerate(x)], "x double, y long").repartition(5)
     probs = [0.0, 0.05, 0.25, 0.5, 0.75, 0.9, 1.0]
     got = statistics.quantiles(df, {"x": F.col("x"), "y": F.col("y"), "none": F.lit(None)}, probs)
+    for n in (1, 2, 7, 88):
+        few = [rng.gauss(0, 1) for _ in range(n)]
+        assert statistics.quantiles(spark.createDataFrame([(v,) for v in few], "x double"), {"x": F.col("x")}, probs)["x"] == pytest.approx(np.quantile(few, probs))
     fine = [v for v in x if v is not None and v == v]
     assert got["x"] == pytest.approx(np.quantile(fine, probs)) and got["y"] == pytest.approx(np.quantile([i % 3 for i in range(len(x))], probs)) and got["none"] == [None] * 7
 
