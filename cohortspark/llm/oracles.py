@@ -81,4 +81,26 @@ pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1
   FROM fine q JOIN fine c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 20
 """
-ORACLES = {"op1_sharding": OP1, "op4_urls": OP4, "op8_quality": OP8, "op9_topk": OP9}
+OP13 = f"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n::BIGINT, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tbl),
+turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv_id, conv_id::VARCHAR AS name, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, md5(octet_length(encode(role)) || ':' || role || text)) AS t
+  FROM turns GROUP BY conv_id),
+heads AS (SELECT own.*, (xor({CRC.replace("coalesce(text, '')", "name")}, 4294967295) % 9)::BIGINT AS h FROM own, crc),
+whole AS (
+  SELECT o.conv_id, list_concat(CASE WHEN o.h = 0 THEN [] ELSE coalesce(b.t[1:o.h], []) END, o.t[o.h + 1:]) AS t FROM heads o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5),
+spots AS (SELECT conv_id, t, len(t) AS n, d, t[1:d] AS head, CASE WHEN d > 0 THEN octet_length(encode(t[d].text)) ELSE 0 END AS size FROM whole, unnest(range(len(t) + 1)) AS x(d)),
+node AS (
+  SELECT head, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(size) AS size,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256
+  FROM spots GROUP BY head, d),
+kids AS (SELECT head[1:d - 1] AS head, d - 1 AS d, count(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL),
+full_node AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (head, d)),
+below AS (
+  SELECT head[1:e] AS head, e AS d, sum((n_convs - 1) * size) AS saved, count(*) FILTER (n_children = 0) AS n_leaves FROM full_node, unnest(range(d + 1)) AS x(e) GROUP BY ALL)
+SELECT f.conv_id, f.d AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, b.n_leaves, b.saved::BIGINT AS saved_tokens, f.ends_sha256
+FROM full_node f JOIN below b ON f.head = b.head AND f.d = b.d LEFT JOIN full_node p ON f.d > 0 AND p.d = f.d - 1 AND p.head = f.head[1:f.d - 1]
+"""
+ORACLES = {"op1_sharding": OP1, "op4_urls": OP4, "op8_quality": OP8, "op9_topk": OP9, "op13_prefix_trie": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, lm, mixing, pii, quality, sentencepiece_codec, sharding, simhash, topk, urls
+from . import licenses, lm, mixing, packing, pii, prefix_trie, quality, sentencepiece_codec, sharding, simhash, topk, urls, whitening
 from .oracles import ORACLES
 
 SHARDS = 24
@@ -79,8 +79,23 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    each = found.select("vec_id", "n", F.expr("try_cast(deviation as bigint)").alias("deviation"), "explained", "identity_error", F.posexplode("whitened").alias("at", "whitened"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened", F.get("explained", "at").alias("explained"), "identity_error")
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_ids=False)
+    return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_simhash, op3_licenses, op4_urls, op5_mixing, op6_sentencepiece, op7_pii, op8_quality, op9_topk, op10_lm)}
+    return {f.__name__: f for f in (op1_sharding, op2_simhash, op3_licenses, op4_urls, op5_mixing, op6_sentencepiece, op7_pii, op8_quality, op9_topk, op10_lm, op11_whitening, op12_packing, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
