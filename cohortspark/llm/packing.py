@@ -22,7 +22,8 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StructType
 from .common import durable, own_names
 
 CAPACITY, OPEN_BINS, WINDOW, PER_TASK = 2048, 4096, 4096, 1 << 16
-PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+[.,]?")  # Latin letters with one lower case, perhaps with a stop or a comma
+LETTERS = "[A-Za-zÀ-ÖØ-öø-įı-ɏ]+"  # Latin ones whose lower case is one letter
+PLAIN = re.compile(LETTERS)
 
 
 def default_tokenizer() -> str:
@@ -36,10 +37,11 @@ class Encoder:
     """Ids of texts as little-endian 32-bit integers, `add_special_tokens` off, of a tokenizer that drops white space and
     ends a word's last piece with a mark: a text's ids are then those of its words between spaces, one after another.
 
-    Words are looked up in a memo, begun anew when `most` words are held; words of letters that are not in it are
-    lower-cased, freed of a stop or comma behind them and encoded many to a call, all others one by one."""
+    A batch's different words are found in Arrow; those of letters are lower-cased and freed of a stop or comma behind them.
+    What is left is looked up in a memo, begun anew when `most` words are held, or encoded: words of letters many to a
+    call, all others one by one."""
 
-    def __init__(self, spec: str, most: int = 1_000_000, longest: int = 64) -> None:
+    def __init__(self, spec: str, most: int = 1_500_000, longest: int = 64) -> None:
         from tokenizers import Tokenizer
 
         self.tok, self.most, self.longest = Tokenizer.from_str(spec), most, longest
@@ -49,30 +51,23 @@ class Encoder:
             self.ends[i] = bool(mark) and piece.endswith(mark)
         self.by_word = bool(mark) and '"Lowercase"' in spec and not len(self.whole([" \n"])[0])
         self.memo: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        if self.by_word:
+            self.stop, self.comma = (pa.scalar(x.tobytes(), pa.large_binary()) for x in self.whole([".", ","]))
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn_cores(self, cores: list[str]) -> None:
-        groups = [cores[i : i + 512] for i in range(0, len(cores), 512)]
-        for group, ids in zip(groups, self.whole([" ".join(g) for g in groups]), strict=True):
+    def learn(self, words: list[str]) -> None:
+        plain = [w for w in words if PLAIN.fullmatch(w)]
+        for group in (plain[i : i + 512] for i in range(0, len(plain), 512)):
+            ids = self.whole([" ".join(group)])[0]
             cuts, raw = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), ids.tobytes()
             if len(cuts) == len(group):
                 own = [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
             else:  # a word that the tokenizer takes apart
                 own = [x.tobytes() for x in self.whole(group)]
-            self.cores.update(zip(group, own, strict=True))
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.cores) > self.most:
-            self.cores = {}
-        plain = [w for w in words if PLAIN.fullmatch(w)]
-        odd = list(words.difference(plain))
-        cut = [(w, w[:-1] if w[-1] in ".," else w) for w in plain]
-        lower = [(w, c.lower(), w[len(c) :]) for w, c in cut]
-        self.learn_cores(list({c for _, c, _ in lower}.union(".,").difference(self.cores)))
-        self.memo.update((w, self.cores[c] + self.cores[tail] if tail else self.cores[c]) for w, c, tail in lower)
+            self.memo.update(zip(group, own, strict=True))
+        odd = [w for w in words if not PLAIN.fullmatch(w)]
         self.memo.update(zip(odd, (x.tobytes() for x in self.whole(odd)), strict=True))
 
     def known(self, words: list[str]) -> list[bytes]:
@@ -81,7 +76,7 @@ class Encoder:
         if len(self.memo) + len(fresh) > self.most:
             self.memo, fresh = {}, words
         long = [w for w in fresh if len(w) > self.longest]  # not held
-        self.learn(set(fresh).difference(long))
+        self.learn([w for w in fresh if len(w) <= self.longest] if long else fresh)
         if not long:
             return [self.memo[w] for w in words]
         own = dict(zip(long, (x.tobytes() for x in self.whole(long)), strict=True))
@@ -92,7 +87,13 @@ class Encoder:
             return [x.tobytes() for x in self.whole(texts.to_pylist())]
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         words = split.flatten().dictionary_encode()
-        ids = pa.array(self.known(words.dictionary.to_pylist()), pa.large_binary()).take(words.indices)
+        each = words.dictionary
+        plain = pc.match_substring_regex(each, f"^{LETTERS}[.,]?$")
+        cores = pc.if_else(plain, pc.utf8_lower(pc.utf8_rtrim(each, ".,")), each).dictionary_encode()
+        ids = pa.array(self.known(cores.dictionary.to_pylist()), pa.large_binary()).take(cores.indices)
+        none = pa.scalar(b"", pa.large_binary())
+        behind = lambda c, own: pc.if_else(pc.and_(plain, pc.ends_with(each, c)), own, none)
+        ids = pc.binary_join_element_wise(ids, behind(".", self.stop), behind(",", self.comma), none).take(words.indices)
         ends = np.frombuffer(ids.buffers()[1], dtype=np.int64)[: len(ids) + 1]
         cuts = ends[np.cumsum([0, *pc.list_value_length(split).to_pylist()])].tolist()
         data = ids.buffers()[2]
@@ -105,7 +106,7 @@ def encoder(spec: str) -> Encoder:
 
 
 @own_names
-def pieces(docs: DataFrame, text: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None, end: int = 0, keep_ids: bool = True, rows: int = 1024) -> DataFrame:
+def pieces(docs: DataFrame, text: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None, end: int = 0, keep_ids: bool = True, rows: int = 2048) -> DataFrame:
     """Each document's ids, then `end`, cut into pieces of `capacity` where there are more: in place of text piece int (from
     0), start (ids before it), length, ids_crc32 of the ids as little-endian 32-bit integers, and ids (such bytes) if asked.
 
