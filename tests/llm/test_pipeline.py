@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cohortspark.llm import alike, quality, sentencepiece_codec
+from cohortspark.operators import skew
 
 from .test_operators import WORDS, plain_spans
 
@@ -118,3 +119,49 @@ def test_near_dedup_links_copies_from_0_8(spark):
     want = sorted(min(ids[i] for i in range(len(texts)) if root[i] == r) for r in set(root))
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string").repartition(3)
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == want
+
+
+def test_large_group_of_copies(spark):
+    """300 copies of one text, each changed by itself, most just above or below 0.8 to the text and apart from one another,
+    and some copies of those: the same groups as all pairs give, at 0.8 and where hot texts are sent apart."""
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randrange(50_000)}"
+    hub = [word() for _ in range(220)]
+
+    def changed(ws, n):
+        ws = list(ws)
+        for at in rng.sample(range(len(ws)), n):
+            ws[at] = word()
+        return ws
+
+    texts = [hub, *(changed(hub, rng.choice((1, 3, 4, 5, 6, 9))) for _ in range(300))]
+    texts += [changed(texts[rng.randrange(1, 300)], 2) for _ in range(60)]
+    texts = [" ".join(t) for t in texts]
+    root = similar_groups(texts)
+    assert 20 < len(set(root)) < 250
+    before = skew.LEAST_HOT
+    skew.LEAST_HOT = 50  # so that the text that others were made from is a hot one here
+    try:
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+        assert sorted(r.doc_id for r in alike.keep_one(df).collect()) == sorted(set(root))
+    finally:
+        skew.LEAST_HOT = before
+
+
+def test_parities_never_exclude_a_link(spark):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(900)}" for _ in range(1500)]
+    texts = []
+    for n in (6, 40, 300, 1500):
+        for _ in range(12):
+            ws = base[:n]
+            for at in rng.sample(range(n), max(1, n // rng.choice((20, 60, 200)))):
+                ws[at] = f"w{rng.randrange(900)}"
+            texts.append(" ".join(ws))
+    df = spark.createDataFrame(list(enumerate([*texts, "", None])), "i int, t string")
+    got = {r.i: (r.n, r.bits) for r in df.select("i", alike.parities(F.col("t"), 5).alias("s")).select("i", "s.*").collect()}
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts[:i]):
+            x, y = alike.shingle_set(a.encode(), 5), alike.shingle_set(b.encode(), 5)
+            differ = sum((p ^ q).bit_count() if p ^ q >= 0 else ((p ^ q) + (1 << 64)).bit_count() for p, q in zip(got[i][1], got[j][1], strict=True))
+            assert got[i][0] == len(x) and differ <= len(x ^ y)
