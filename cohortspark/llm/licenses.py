@@ -5,6 +5,7 @@ a signature is a regex over whole words and a place is a number of words."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from itertools import groupby
@@ -269,42 +270,49 @@ def phrase_places(w: Column, phrase: str) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size(w) - len(parts)), fits)
 
 
+DETECTIONS = "array<struct<start:int,end:int,priority:int,rule:int,label:string>>"
+MARK = "\x01"  # put before and behind a match; no word holds it
+
+
 def _detections(joined: Column, present: Column, rules: list[Signature]) -> Column:
-    """array<struct(start, end, priority, rule, label)> of all matches, in words, end exclusive."""
-    kind = "array<struct<start:int,end:int,priority:int,rule:int,label:string>>"
-    table = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(r.label).alias("label"), F.array(*map(F.lit, r.keyword.split("|"))).alias("keywords"), F.lit(f"(?<= ){r.regex}(?= )").alias("regex"), F.lit(r.priority).alias("priority")) for i, r in enumerate(rules)])
+    """All matches as DETECTIONS, in words, end exclusive. Each rule is an expression of its own with a literal regex, which is
+    compiled once, and looks at texts that hold one of its keywords; places are worked out for rules with a match."""
 
-    def spaces(c: Column) -> Column:
-        return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
+    def marked(i: int, r: Signature) -> Column:
+        rule = F.struct(F.lit(r.priority).alias("priority"), F.lit(i).alias("rule"), F.lit(r.label).alias("label"))
+        text = F.regexp_replace(joined, F.lit(f"(?<= ){r.regex}(?= )"), F.lit(f"{MARK}$0{MARK}"))
+        return F.when(F.arrays_overlap(present, F.array(*map(F.lit, r.keyword.split("|")))), F.struct(text.alias("text"), rule.alias("rule")))
 
-    def matches(r: Column) -> Column:
-        found, gaps = F.regexp_extract_all(joined, r["regex"], F.lit(0)), F.split(joined, r["regex"], -1)
+    def placed(m: Column) -> Column:
+        # Every other part is a match. Before it stand as many words as spaces, less one; it ends before as many.
+        def each(parts: Column) -> Column:
+            spaces = running(F.transform(parts, lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))), lambda a, b: a + b)
+            one = lambda e: lambda k: F.struct((F.get(e, k - 1) - 1).alias("start"), F.get(e, k).alias("end"), *(m["rule"][c].alias(c) for c in ("priority", "rule", "label")))
+            return let(spaces, lambda e: F.transform(F.sequence(F.lit(1), F.size(e) - 2, F.lit(2)), one(e)))
 
-        # A match's last word ends where the spaces of the gaps and matches up to it end.
-        ends = running(F.transform(found, lambda m, i: spaces(m) + spaces(F.get(gaps, i))), lambda a, b: a + b)
-        one = lambda m, end: F.struct((end - spaces(m) - 1).alias("start"), end.alias("end"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label"))
-        return let(ends, lambda e: F.transform(found, lambda m, i: one(m, F.get(e, i)))).cast(kind)
+        return let(F.split(m["text"], F.lit(MARK), -1), each).cast(DETECTIONS)
 
-    return F.flatten(F.transform(F.filter(table, lambda r: F.arrays_overlap(present, r["keywords"])), matches)).cast(kind)
+    texts = F.array(*(marked(i, r) for i, r in enumerate(rules)))
+    found = F.filter(texts, lambda m: m.isNotNull() & F.contains(m["text"], F.lit(MARK)))
+    return F.flatten(F.transform(found, placed)).cast(DETECTIONS)
 
 
 def _resolved(found: Column) -> Column:
     """Drops a detection contained in one of a higher priority, or of its own that is longer or comes from an earlier
-    rule. In order of start, longest first, only the furthest end so far on each priority is needed."""
-    by = F.array_sort(F.transform(F.array_distinct(found), lambda d: F.struct(d["start"], (-d["end"]).alias("back"), (-d["priority"]).alias("p"), d["rule"], d["label"])))
+    rule. In order of start, longest first, only the furthest end before it on each priority is needed: running maxima."""
     levels = (TAG, NOTICE, NAME)
+    by = F.array_sort(F.transform(found, lambda d: F.struct(d["start"].alias("start"), (-d["end"]).alias("back"), (-d["priority"]).alias("p"), d["rule"].alias("rule"), d["label"].alias("label"))))
+
+    def stands(ends: dict[int, Column]) -> Callable[[Column, Column], Column]:
+        before = lambda level, i: F.coalesce(F.get(ends[level], i - 1), F.lit(0))
+        return lambda d, i: ~reduce(Column.__or__, [(-d["p"] <= level) & (-d["back"] <= before(level, i)) for level in levels])
+
+    def kept(a: Column) -> Column:
+        own = lambda level: F.transform(a, lambda d: F.when(d["p"] == -level, -d["back"]).otherwise(0))
+        reach = [running(own(level), F.greatest).alias(f"e{level}") for level in levels]
+        return let(F.struct(*reach), lambda e: F.filter(a, stands({level: e[f"e{level}"] for level in levels})))
 
-    def add(s: Column, d: Column) -> Column:
-        end, p = -d["back"], -d["p"]
-        hidden = F.lit(False)
-        for level in levels:
-            hidden = hidden | ((p <= level) & (end <= s[f"e{level}"]))
-        kept = F.when(hidden, s["kept"]).otherwise(F.concat(s["kept"], F.array(F.struct(d["start"], end.alias("end"), p.alias("priority"), d["rule"], d["label"]))))
-        return F.struct(*[F.when(p == level, F.greatest(s[f"e{level}"], end)).otherwise(s[f"e{level}"]).alias(f"e{level}") for level in levels], kept.alias("kept"))
-
-    kind = "array<struct<start:int,end:int,priority:int,rule:int,label:string>>"
-    start = F.struct(*[F.lit(-1).alias(f"e{level}") for level in levels], F.array().cast(kind).alias("kept"))
-    return F.aggregate(by, start, add, lambda s: s["kept"])
+    return F.transform(let(by, kept), lambda d: F.struct(d["start"], (-d["back"]).alias("end"), (-d["p"]).alias("priority"), d["rule"], d["label"])).cast(DETECTIONS)
 
 
 def alternatives(keywords: list[str]) -> str:

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cohortspark.llm import packing, prefix_trie, queries, whitening
+from cohortspark.llm import licenses, packing, prefix_trie, queries, whitening
 
 # 11
 
@@ -245,3 +245,18 @@ def test_query_columns(spark):
     assert queries.op11_whitening(spark, path).columns == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
     assert queries.op12_packing(spark, path).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert queries.op13_prefix_trie(spark, path).columns == ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+
+
+# 3
+
+
+def test_license_text_with_twenty_thousand_hits(spark):
+    """A unit repeated has the unit's detections at every place; a megabyte of hits is scanned in linear time."""
+    unit = "released under the mit license, or licensed under the Apache License, Version 2.0 word "
+    df = spark.createDataFrame([(1, unit), (2, unit * 10_000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(df).select("doc_id", "n_words", "base", "detections").collect()}
+    one, many, width = got[1], got[2], got[1].n_words
+    assert len(one.detections) >= 2 and many.n_words == 10_000 * width
+    place = lambda d, k: (d.start + k * width, d.end + k * width, d.priority, d.label)
+    assert [place(d, 0) for d in many.detections] == [place(d, k) for k in range(10_000) for d in one.detections]
+    assert sorted(b.start for b in many.base) == sorted(b.start + k * width for k in range(10_000) for b in one.base)
