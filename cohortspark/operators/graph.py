@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,10 +11,13 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a local one where that is unset."""
+    """The folder in spark.checkpoint.dir, which all executors share. Where that is unset, one process (a local master) takes
+    a temporary folder; a cluster, whose executors would not see it, raises RuntimeError."""
     sc = spark.sparkContext
     shared = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not shared:
+        if not re.match(r"local($|\[)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="cohortspark-")
         sc.setCheckpointDir(shared)
     return shared.rstrip("/")
