@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,9 +43,32 @@ def missing_slots(slots: DataFrame, key: str, first: str, last: str) -> DataFram
 
 
 def rolling_sums(df: DataFrame, key: str, slot: str, value: str, hours: Sequence[int]) -> DataFrame:
-    """Adds hN, the sum over the last N hours, the row's slot included; the series has no gaps. One window sort."""
-    own = Window.partitionBy(key).orderBy(slot)
-    return df.withColumns({f"h{h}": F.sum(value).over(own.rowsBetween(1 - 2 * h, 0)) for h in hours})
+    """Adds hN, the sum over the last N hours, the row's slot included; the series has no gaps. One window sort.
+
+    A sum is put together from shorter ones that end at the row and before it, so each takes a few additions whatever its
+    length, and nothing is subtracted, so no rounding error of a long running sum remains."""
+    own, known, out = Window.partitionBy(key).orderBy(slot), {1: value}, df
+    helpers = []
+
+    def added(length: int, name: str) -> None:
+        nonlocal out
+        parts, left = [], length
+        while left:
+            part = max(n for n in known if n <= left)
+            before = length - left
+            parts.append(F.coalesce(F.lag(known[part], before).over(own), F.lit(0.0)) if before else F.col(known[part]))
+            left -= part
+        out, known[length] = out.withColumn(name, reduce(Column.__add__, parts)), name
+
+    for h in sorted(set(hours)):
+        while 2 * h // max(known) > 3:  # doubled, so that few parts do
+            helpers.append(f"_sum{2 * max(known)}")
+            added(2 * max(known), helpers[-1])
+        if 2 * h in known:
+            out = out.withColumn(f"h{h}", F.col(known[2 * h]))
+        else:
+            added(2 * h, f"h{h}")
+    return out.drop(*helpers)
 
 
 def decayed_sum(df: DataFrame, key: str, slot: str, value: str, decay: float, length: int) -> DataFrame:
