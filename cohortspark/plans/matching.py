@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -88,6 +88,74 @@ def cheapest_assignment(t: Tables) -> DataFrame:
     return assign.cheapest_assignment(g, assign.common_support(g)).select("p", "c", R("cost", 6).alias("cost"))
 
 
+@query("mg10_ranked_support")
+def ranked_support(t: Tables) -> DataFrame:
+    """The cases of the largest support of the least ranks: a case's rank is its place among all orders of its kind."""
+    g = t.once("graph", lambda: graph(t))
+    return assign.ranked_support(g, g.select("p").distinct().withColumn("rank", F.col("p") / 20))
+
+
+GRAPH_SQL = "count(*) AS edges, count(DISTINCT p_unit_id) AS cases, count(DISTINCT c_unit_id) AS controls"
+
+
+def faults(t: Tables, pairs: DataFrame, demand: int, capacity: int) -> list[Column]:
+    """Numbers of pairs (p, c) that are no edge, of cases with more than `demand` and controls with more than `capacity`."""
+    g = t.once("graph", lambda: graph(t))
+    over = lambda k, most: pairs.groupBy(k).agg(F.count("*").alias("n")).where(F.col("n") > most).count()
+    found = (("no_edge", pairs.join(g, ["p", "c"], "left_anti").count()), ("over_demand", over("p", demand)), ("over_capacity", over("c", capacity)))
+    return [F.lit(n).cast("long").alias(k) for k, n in found]
+
+
+def counted(t: Tables) -> DataFrame:
+    return t.once("graph", lambda: graph(t)).agg(F.count("*").alias("edges"), F.count_distinct("p").alias("cases"), F.count_distinct("c").alias("controls"))
+
+
+def flow_certificate(t: Tables, demand: int, capacity: int) -> DataFrame:
+    """Counts of the graph, breaches of the flow's bounds, and by how much a cut is larger than the flow: all none."""
+    f, cut = assign.certified_flow(t.once("graph", lambda: graph(t)), demand, capacity)
+    return counted(t).select("*", *faults(t, f, demand, capacity), F.lit(cut - f.count()).cast("long").alias("gap"))
+
+
+NO_FAULT = "0::BIGINT AS no_edge, 0::BIGINT AS over_demand, 0::BIGINT AS over_capacity"
+
+
+@query("mg7_matching_certificate", f"WITH {EDGES_SQL} SELECT {GRAPH_SQL}, {NO_FAULT}, 0::BIGINT AS gap FROM edges")
+def matching_certificate(t: Tables) -> DataFrame:
+    return flow_certificate(t, 1, 1)
+
+
+@query("mg8_flow_certificate", f"WITH {EDGES_SQL} SELECT {GRAPH_SQL}, {NO_FAULT}, 0::BIGINT AS gap FROM edges")
+def capacitated_certificate(t: Tables) -> DataFrame:
+    return flow_certificate(t, 2, 2)
+
+
+@query("mg11_assignment_invariants", f"WITH {EDGES_SQL} SELECT {GRAPH_SQL}, {NO_FAULT}, 0::BIGINT AS not_two, 0::BIGINT AS other_cost, 0::BIGINT AS below_bound FROM edges")
+def assignment_invariants(t: Tables) -> DataFrame:
+    """No case of the support has other than two controls, costs are those of the edges, and the total is no less than
+    that of each case's two cheapest edges."""
+    g = t.once("graph", lambda: graph(t))
+    support = t.once("support", lambda: assign.common_support(g))
+    a = t.once("assigned", lambda: assign.cheapest_assignment(g, support))
+    not_two = support.join(a.groupBy("p").agg(F.count("*").alias("n")), "p", "left").where("coalesce(n, 0) <> 2").count()
+    other = a.join(g.withColumnRenamed("cost", "own"), ["p", "c"]).where("abs(cost - own) > 1e-9").count()
+    two = g.join(support, "p", "left_semi").withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("cost"))).where("r <= 2").agg(F.sum("cost")).first()[0]
+    below = int((a.agg(F.sum("cost")).first()[0] or 0.0) < (two or 0.0) - 1e-6)
+    return counted(t).select("*", *faults(t, a, 2, 1), *(F.lit(n).cast("long").alias(k) for k, n in (("not_two", not_two), ("other_cost", other), ("below_bound", below))))
+
+
+@query("mg16_repair_invariants", f"WITH {EDGES_SQL} SELECT {GRAPH_SQL}, 0::BIGINT AS used_twice, 0::BIGINT AS emptied, 0::BIGINT AS no_edge, 0::BIGINT AS gap FROM edges")
+def repair_invariants(t: Tables) -> DataFrame:
+    """No control is used twice, no filled slot is emptied, new ones are legal, and no larger flow fills more slots."""
+    g = t.once("graph", lambda: graph(t))
+    slots = t.once("slots", lambda: vacated(t))
+    legal = g.where("c % 7 <> 0")
+    r = t.once("repaired", lambda: assign.repaired(slots, legal))
+    new = r.where("new is not null").select("p", F.col("new").alias("c"))
+    most, _ = assign.grown(legal, slots.groupBy("p").agg(F.count("*").alias("d")), 1, new)
+    found = (("used_twice", new.count() - new.select("c").distinct().count()), ("emptied", r.where("old is not null and new is null").count()), ("no_edge", new.join(legal, ["p", "c"], "left_anti").count()), ("gap", most.count() - new.count()))
+    return counted(t).select("*", *(F.lit(n).cast("long").alias(k) for k, n in found))
+
+
 # Orders (even nodes) are linked to the weeks in which a part was shipped (odd nodes); all lines take part.
 LINKS_SQL = "links AS (SELECT DISTINCT 2 * l_orderkey AS a, 2 * (l_partkey * 1000 + date_diff('day', DATE '1992-01-01', l_shipdate::DATE) // 7) + 1 AS b FROM lineitem)"
 WALK_SQL = f"{LINKS_SQL}, sides AS (SELECT a, b FROM links UNION SELECT b, a FROM links), walk AS (SELECT a AS node, a AS root FROM sides UNION SELECT b.b, w.root FROM walk w JOIN sides b ON b.a = w.node), comp AS (SELECT node, min(root) AS root FROM walk GROUP BY 1)"

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,27 +50,65 @@ def best_support(pairs):
     return best, cheapest
 
 
-def test_auction_against_the_exact_solvers(spark):
-    """One component by rounds over all tasks: legal, no candidate twice, and as good as the exact methods within the step."""
-    rng = random.Random(3)
-    pairs = sorted({(p, 100 + c): rng.randint(1, 40) / 10 for p in range(5) for c in range(12) if rng.random() < 0.3}.items())
+@pytest.mark.parametrize("seed, dense", [(3, 0.3), (4, 0.15)])
+def test_searches_over_all_tasks_against_the_exact_solvers(spark, seed, dense):
+    """One component without tasks that hold it: flow, cut, support, repair as by the exact methods, cost within the step."""
+    rng = random.Random(seed)
+    pairs = sorted({(p, 100 + c): rng.randint(1, 40) / 10 for p in range(8) for c in range(14) if rng.random() < dense}.items())
     g = graph_of(spark, [(p, c, x) for (p, c), x in pairs]).cache()
-    legal = {k: x for k, x in pairs}
-    exact, rounds = (assign.maximum_flow(g, 2, 1, n).collect() for n in (10**6, 0))
-    assert len({r.c for r in rounds}) == len(rounds) and {(r.p, r.c) for r in rounds} <= set(legal)
-    assert len(exact) - 0.05 * 10 <= len(rounds) <= len(exact)
+    legal = dict(pairs)
+    for demand, capacity in ((2, 1), (2, 2)):
+        (one, cut), (two, other) = (assign.certified_flow(g, demand, capacity, n) for n in (10**6, 0))
+        one, two = one.collect(), two.collect()
+        assert len(one) == len(two) == cut == other
+        for got in (one, two):
+            assert len(set(got)) == len(got) and {(r.p, r.c) for r in got} <= set(legal)
+            assert max(Counter(r.p for r in got).values()) <= demand and max(Counter(r.c for r in got).values()) <= capacity
     support = assign.common_support(g).cache()
+    by_rounds = {r.p for r in assign.common_support(g, largest=0).collect()}
+    flow = assign.maximum_flow(g.where(F.col("p").isin([*by_rounds, -1])), 2, 1)
+    assert flow.count() == 2 * len(by_rounds)  # they can all be served
+    assert support.count() - 1 <= len(by_rounds) <= support.count()
     best = assign.cheapest_assignment(g, support).collect()
-    near = assign.cheapest_assignment(g, support, largest=0, step=0.05).collect()
+    near = assign.cheapest_assignment(g, support, largest=0, step=0.05).collect() if seed == 3 else best
     assert len(near) == len(best) and len({r.c for r in near}) == len(near) and all(legal[r.p, r.c] == r.cost for r in near)
     assert sum(r.cost for r in near) <= sum(r.cost for r in best) + 0.05 * len(best) + 1e-9
-    by_rounds = assign.common_support(g, largest=0).collect()
-    assert len({r.p for r in by_rounds}) == len(by_rounds) and support.count() - 1 <= len(by_rounds) <= support.count()
     slots = spark.createDataFrame([(r.p, i, None if r.c % 3 == 0 else r.c) for i, r in enumerate(best)], "p long, rank int, c long")
-    fixed = assign.repaired(slots, g, largest=0).collect()
-    used = [r.new for r in fixed if r.new is not None]
-    assert len(fixed) == len(best) and len(set(used)) == len(used) and all(r.old in (None, r.new) for r in fixed)
-    assert all((r.p, r.new) in legal for r in fixed if r.new is not None) and sum(r.new is None for r in fixed) <= sum(r.old is None for r in fixed)
+    fixed, small = (assign.repaired(slots, g.where("c % 5 <> 0 or p = 0"), largest=n).collect() for n in (0, 10**6))
+    for rows in (fixed, small):
+        used = [r.new for r in rows if r.new is not None]
+        assert len(rows) == len(best) and len(set(used)) == len(used)
+        assert all((r.p, r.new) in legal or r.new == r.old for r in rows if r.new is not None) and not any(r.new is None and r.old is not None for r in rows)
+    assert sum(r.new is None for r in fixed) == sum(r.new is None for r in small)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_ranked_support_by_brute_force(seed):
+    """Of all sets of cases that can be served, the largest; of these the least sum of ranks."""
+    rng = random.Random(100 + seed)
+    g = {p: sorted(c for c in range(10, 18) if rng.random() < 0.4) for p in range(6)}
+    g = {p: c for p, c in g.items() if c}
+    rank = {p: rng.choice([0, 1, 2, 3, 5, 8]) for p in g}
+
+    def served(cases, used=frozenset()):
+        if not cases:
+            return True
+        return any(served(cases[1:], used | set(two)) for two in itertools.combinations([c for c in g[cases[0]] if c not in used], 2))
+
+    sets = [s for n in range(len(g) + 1) for s in itertools.combinations(sorted(g), n) if served(s)]
+    most = max(map(len, sets))
+    got = assign._least_ranked(g, rank)
+    assert len(got) == most and tuple(sorted(got)) in sets
+    assert sum(rank[p] for p in got) == min(sum(rank[p] for p in s) for s in sets if len(s) == most)
+
+
+def test_contested_slots(spark):
+    """Three vacant slots, two free controls: one stays vacant, at either size, and nothing is raised."""
+    g = graph_of(spark, [(p, c, 1) for p in range(3) for c in (10, 11)])
+    slots = spark.createDataFrame([(p, 1, None) for p in range(3)], "p long, rank int, c long")
+    for largest in (0, 10**6):
+        got = [r.new for r in assign.repaired(slots, g, largest=largest).collect()]
+        assert sorted(c for c in got if c is not None) == [10, 11] and got.count(None) == 1
 
 
 @pytest.mark.parametrize("seed", range(40))
