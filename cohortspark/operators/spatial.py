@@ -71,3 +71,55 @@ def rectangle_overlaps(rects: DataFrame, key: str, cell: float) -> DataFrame:
     w, h = F.least("a_x1", "b_x1") - x, F.least("a_y1", "b_y1") - y
     own = (F.floor(x / cell) == F.col("_cx")) & (F.floor(y / cell) == F.col("_cy"))
     return both.where((w > 0) & (h > 0) & own).select("a", "b", (w * h).alias("area"))
+
+
+def clipped(ring: Column, by: Column) -> Column:
+    """The part of a convex ring (array of struct x, y) inside another convex one, whose corners stand counterclockwise:
+    cut along each of its sides in turn (Sutherland and Hodgman)."""
+
+    def cut(points: Column, k: Column) -> Column:
+        a, b = F.get(by, k), F.get(by, (k + 1) % F.size(by))
+        left = lambda p: (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
+
+        def side(p: Column, i: Column) -> Column:
+            q = F.get(points, (i + 1) % F.size(points))
+            now, then = left(p), left(q)
+            part = now / F.when(now != then, now - then).otherwise(1.0)
+            at = F.struct((p["x"] + part * (q["x"] - p["x"])).alias("x"), (p["y"] + part * (q["y"] - p["y"])).alias("y"))
+            kept = F.when(now >= 0, F.array(F.struct(p["x"].alias("x"), p["y"].alias("y")))).otherwise(F.array().cast(RING))
+            return F.concat(kept, F.when(((now > 0) & (then < 0)) | ((now < 0) & (then > 0)), F.array(at)).otherwise(F.array().cast(RING)))
+
+        return F.flatten(F.transform(points, side)).cast(RING)
+
+    return F.aggregate(F.sequence(F.lit(0), F.size(by) - 1), ring.cast(RING), cut)
+
+
+RING = "array<struct<x:double,y:double>>"
+
+
+def ring_area(ring: Column) -> Column:
+    """Signed area, positive where corners stand counterclockwise; 0 of fewer than three."""
+    after = lambda p, i: F.get(ring, (i + 1) % F.size(ring))
+    terms = F.transform(ring, lambda p, i: p["x"] * after(p, i)["y"] - after(p, i)["x"] * p["y"])
+    return F.aggregate(terms, F.lit(0.0), lambda s, v: s + v) / 2
+
+
+def polygon_overlaps(polygons: DataFrame, key: str, cell: float) -> DataFrame:
+    """(a, b, area, share) of pairs a < b of convex polygons (column ring, corners in either turn) that overlap: the area
+    in both, and its share of a. Pairs meet in grid cells of their boxes, each in that of the boxes' overlap's lower corner
+    only. Null rings and those without an area overlap nothing."""
+    lo = lambda c: F.array_min(F.transform("ring", lambda p: p[c]))
+    hi = lambda c: F.array_max(F.transform("ring", lambda p: p[c]))
+    rings = polygons.select(key, F.col("ring").cast(RING).alias("ring")).withColumn("own", ring_area(F.col("ring"))).where("own <> 0")
+    rings = rings.withColumn("ring", F.when(F.col("own") > 0, F.col("ring")).otherwise(F.reverse("ring"))).withColumns({"x0": lo("x"), "x1": hi("x"), "y0": lo("y"), "y1": hi("y")})
+    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
+    r = rings.withColumn("_cx", cells("x0", "x1")).withColumn("_cy", cells("y0", "y1"))
+    side = lambda s: r.select("_cx", "_cy", F.col(key).alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("ring", "own", "x0", "x1", "y0", "y1")])
+    x, y = F.greatest("a_x0", "b_x0"), F.greatest("a_y0", "b_y0")
+    meet = (x < F.least("a_x1", "b_x1")) & (y < F.least("a_y1", "b_y1")) & (F.floor(x / cell) == F.col("_cx")) & (F.floor(y / cell) == F.col("_cy"))
+    both = side("a").join(side("b"), ["_cx", "_cy"]).where("a < b").where(meet)
+    near = lambda c: F.transform(c, lambda p: F.struct((p["x"] - F.col("a_x0")).alias("x"), (p["y"] - F.col("a_y0")).alias("y")))  # noqa: E731  small numbers keep their digits
+    both = both.select("a", "b", "a_own", near("a_ring").alias("a_ring"), near("b_ring").alias("b_ring"))
+    # Exploded, so that the filter below does not work it out once more.
+    out = both.select("a", "b", F.explode(F.array(ring_area(clipped(F.col("a_ring"), F.col("b_ring"))))).alias("area"), F.abs("a_own").alias("_own"))
+    return out.where("area > 1e-12").select("a", "b", "area", (F.col("area") / F.col("_own")).alias("share"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import statistics as S
-from ..operators.bootstrap import DIGITS, DRAWS, STEPS, draw_counts, paired_bootstrap
+from ..operators.bootstrap import DIGITS, DRAWS, STEPS, draw_counts, paired_bootstrap, replicate_medians
 from ..operators.context import deviations
 from ..registry import Tables, query
 from .cohort import FEATURES, MEMBERS_SQL, SETSCORE_SQL, UNITS_SQL, scores, set_scores, units
@@ -39,6 +39,13 @@ def cluster_draws(t: Tables) -> DataFrame:
     return draw_counts(outcomes(t), "set_id", B, 7).groupBy(F.col("b").cast("long").alias("b")).agg(F.sum("times").alias("draws"), F.count("*").alias("sets"), mean("one"), mean("two"))
 
 
+@query("in2_replicate_medians", f"WITH {SETSCORE_SQL}, {DRAWS_SQL}, m AS (SELECT set_id, ctx_p - greatest(ctx_1, ctx_2) AS margin FROM setscore) SELECT b::BIGINT AS b, count(*) AS n, round(median(margin), 6) AS median FROM (SELECT b, margin, unnest(range(times)) FROM cnt JOIN m USING (set_id) WHERE times > 0) GROUP BY 1")
+def medians(t: Tables) -> DataFrame:
+    """The median margin of the sets in each of 10,000 replicates."""
+    margins = set_scores(t).select("set_id", (F.col("ctx_p") - F.greatest("ctx_1", "ctx_2")).alias("margin"))
+    return replicate_medians(margins, "set_id", "margin", B, 7).select(F.col("b").cast("long").alias("b"), F.col("n").cast("long").alias("n"), R("median", 6).alias("median"))
+
+
 @query("in3_expansion_audit", f"WITH {SETSCORE_SQL}, {DRAWS_SQL}, e AS (SELECT b, avg(two) AS c FROM (SELECT b, two, unnest(range(times)) FROM cnt JOIN w USING (set_id)) GROUP BY 1), a AS (SELECT b, sum(times * two) / sum(times)::DOUBLE AS a FROM cnt JOIN w USING (set_id) GROUP BY 1) SELECT count(*) FILTER (abs(a - c) > 1e-12) AS mismatches, count(*) AS replicates, round(avg(c), 6) AS mean FROM e JOIN a USING (b)")
 def expansion_audit(t: Tables) -> DataFrame:
     """Weighted means against means over rows written out as often as drawn."""

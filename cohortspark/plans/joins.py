@@ -109,6 +109,20 @@ def rectangle_overlap(t: Tables) -> DataFrame:
     return rectangle_overlaps(r, "k", 20.0).select("a", "b", F.round("area", 6).alias("area"))
 
 
+# Squares on their corners: in the turned axes x + y and x - y they are upright, which gives the SQL their overlaps.
+@query("j13_polygon_overlap", "WITH r AS (SELECT p_partkey AS k, p_retailprice + p_size * 10 AS u, p_retailprice - p_size * 10 AS v, 4 + p_partkey % 3 AS h FROM part), o AS (SELECT a.k AS a, b.k AS b, a.h, least(a.u + a.h, b.u + b.h) - greatest(a.u - a.h, b.u - b.h) AS du, least(a.v + a.h, b.v + b.h) - greatest(a.v - a.h, b.v - b.h) AS dv FROM r a JOIN r b ON a.k < b.k AND a.u - b.u BETWEEN -14 AND 14 AND a.v - b.v BETWEEN -14 AND 14) SELECT a, b, round(du * dv / 2, 6) AS area, round(du * dv / (4.0::DOUBLE * h * h), 10) AS share FROM o WHERE du > 1e-9 AND dv > 1e-9")
+def polygon_overlap(t: Tables) -> DataFrame:
+    """Shares of quadrilaterals in one another, corners in either turn."""
+    from ..operators.spatial import polygon_overlaps
+
+    x, y, h = F.col("p_retailprice"), F.col("p_size") * 10, 4 + F.col("p_partkey") % 3
+    point = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
+    ring = F.array(point(x + h, y), point(x, y + h), point(x - h, y), point(x, y - h))
+    ring = F.when(F.col("p_partkey") % 2 == 0, ring).otherwise(F.reverse(ring))
+    found = polygon_overlaps(t.part.select(F.col("p_partkey").alias("k"), ring.alias("ring")), "k", 20.0)
+    return found.select("a", "b", F.round("area", 6).alias("area"), F.round("share", 10).alias("share"))
+
+
 @query("j14_align_predictions", f"WITH {MEMBERS_SQL} SELECT count(*) AS n, count(*) FILTER (set_id % 3 = 0) AS missing, 0::BIGINT AS label_conflicts FROM scores")
 def align_predictions(t: Tables) -> DataFrame:
     s = scores(t)

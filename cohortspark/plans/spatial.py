@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from math import sqrt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.terrain import AROUND, wetness
 from ..registry import Tables, query
 
 R = F.round
@@ -43,3 +46,19 @@ def zonal(t: Tables) -> DataFrame:
 def centroids(t: Tables) -> DataFrame:
     g = pixels(t).groupBy(F.floor(F.col("r") / 5).alias("zone"))
     return g.agg(R(F.avg("c") + 0.5, 5).alias("x"), R(F.avg("r") + 0.5, 5).alias("y"), F.min("c").alias("x0"), (F.max("c") + 1).alias("x1"))
+
+
+_STEPS = "(VALUES " + ", ".join(f"({k}, {i}, {j}, {10.0 * sqrt(i * i + j * j)!r}::DOUBLE)" for k, (i, j) in enumerate(AROUND)) + ") AS s(k, i, j, d)"
+
+
+@query(
+    "rp16_flow_wetness",
+    f"""WITH RECURSIVE {PIXEL_SQL}, n AS (SELECT a.r, a.c, k, b.r AS br, b.c AS bc, round((a.z - b.z) / d, 9) AS drop FROM px a, {_STEPS} JOIN px b ON b.r = a.r + i AND b.c = a.c + j),
+way AS (SELECT r, c, br, bc, drop FROM n WHERE drop > 0 QUALIFY row_number() OVER (PARTITION BY r, c ORDER BY drop DESC, k) = 1),
+walk AS (SELECT r, c, r AS ar, c AS ac FROM px UNION ALL SELECT w.r, w.c, y.br, y.bc FROM walk w JOIN way y ON y.r = w.ar AND y.c = w.ac),
+cells AS (SELECT ar AS r, ac AS c, count(*) AS cells FROM walk GROUP BY ALL)
+SELECT r, c, cells, round(ln(cells * 10 / greatest(coalesce(drop, 0), 0.001::DOUBLE)), 5) AS twi FROM cells LEFT JOIN way USING (r, c)""",
+)
+def flow_wetness(t: Tables) -> DataFrame:
+    """Cells that drain through each pixel and its wetness index."""
+    return wetness(pixels(t), 10.0).select("r", "c", "cells", R("twi", 5).alias("twi"))
