@@ -22,7 +22,7 @@ from .simhash import neighbour_links
 
 # Bands of ROWS minima each: a pair of similarity 0.8 shares none of 32 bands of 5 with probability 3e-6.
 BANDS, ROWS, TURNS, WORDS, CHUNK = 32, 5, 2, 32, 2048
-HELD = 64  # sets of shingles held at a time
+HELD = 8  # sets of shingles held at a time
 FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 

@@ -2,7 +2,7 @@
 
 DataFrame expressions only. Sanitisation is information-theoretic (after Sanchez and Batet): a term t discloses an
 entity e as far as PMI(t; e) = log p(t, e) / (p(t) p(e)) comes up to IC(e) = -log p(e), probabilities over documents.
-Entities are the single addresses and numbers (t, e: both, t within REACH characters of e), and each kind as a whole
+Entities are the single addresses and numbers (t, e: both, t within `reach` characters of e), and each kind as a whole
 (t, e: a text with both). Terms whose share of IC(e) passes a threshold are generalised or removed in texts that hold e."""
 
 from __future__ import annotations
@@ -30,19 +30,21 @@ LITERALS = {"email": "@", "phone": "+"}
 SPAN = "struct<kind:string,start:int,end:int>"
 TERM_CHAR = r"[A-Za-z0-9\x{80}-\x{10FFFF}]"
 TERM_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+# Characters to either side of an entity in which its own terms are sought: about a paragraph. What stands farther away is
+# rarely about the one address, and is still held against the entity's kind, over whole texts.
 REACH = 200
 
 
-def matches(text: Column, pattern: str | Column) -> Column:
+def matches(text: Column, pattern: str | Column, reach: int = REACH) -> Column:
     """array<struct(start, end, found, around)> of all matches, places in code points, end exclusive; around: the text
-    up to REACH characters to either side, cut at the next match, without words that the cut goes through."""
+    up to `reach` characters to either side, cut at the next match, without words that reach the cut."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
 
     def before(gap: Column) -> Column:
-        return F.when(F.length(gap) > REACH, F.regexp_replace(F.right(gap, F.lit(REACH)), f"^{TERM_CHAR}+", "")).otherwise(gap)
+        return F.when(F.length(gap) > reach, F.regexp_replace(F.right(gap, F.lit(reach)), f"^{TERM_CHAR}+", "")).otherwise(gap)
 
     def after(gap: Column) -> Column:
-        return F.when(F.length(gap) > REACH, F.regexp_replace(F.left(gap, F.lit(REACH)), f"{TERM_CHAR}+$", "")).otherwise(gap)
+        return F.when(F.length(gap) > reach, F.regexp_replace(F.left(gap, F.lit(reach)), f"{TERM_CHAR}+$", "")).otherwise(gap)
 
     def placed(s: Column) -> Column:
         # A match ends where the gaps and matches up to it end.
@@ -76,12 +78,12 @@ def valid(kind: str, found: Column) -> Column:
     return F.length(digits).between(9, 15)
 
 
-def entities(text: Column) -> Column:
+def entities(text: Column, reach: int = REACH) -> Column:
     """array<struct(kind, start, end, found, around)> of the base kinds, in the order of KINDS, then by start."""
     kind = "array<struct<kind:string,start:int,end:int,found:string,around:string>>"
 
     def of(name: str) -> Column:
-        found = F.filter(matches(text, PATTERNS[name]), lambda m: valid(name, m["found"]))
+        found = F.filter(matches(text, PATTERNS[name], reach), lambda m: valid(name, m["found"]))
         spans = F.transform(found, lambda m: F.struct(F.lit(name).alias("kind"), m["start"], m["end"], m["found"], m["around"]))
         seen = (text.contains(LITERALS[name]) if name in LITERALS else text.rlike("[0-9]")) & text.rlike(SIGNS[name])
         return F.when(seen, spans).otherwise(F.array().cast(kind)).cast(kind)
@@ -147,16 +149,17 @@ def blanked(text: Column, spans: Column) -> Column:
 
 
 @own_names
-def find(docs: DataFrame, text: str = "text", share: float = 0.9, support: int = 5) -> DataFrame:
+def find(docs: DataFrame, text: str = "text", share: float = 0.9, support: int = 5, reach: int = REACH) -> DataFrame:
     """Adds base (array of struct kind, start, end) and spans, the same with the disclosing terms (kind "term").
 
-    Terms are sought in texts that hold the entity, or an entity of the kind, that they disclose, outside of entities.
+    Terms are sought in texts that hold the entity, or an entity of the kind, that they disclose, outside of entities: those of
+    a single entity within `reach` characters of it, up to the next entity of its kind, those of a kind in whole texts.
     Rows with entities are written with a number of their own, by which terms come back to them, so equal texts are
     no hot key; all other rows pass through. Null texts count as empty; repeated rows get the same spans; an empty
     table gives an empty one; columns base and spans of the input are replaced, all others are carried along."""
     kind = f"array<{SPAN}>"
     whole = docs.drop(*[c for c in ("base", "spans") if c != text]).withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    whole = whole.withColumn("_found", entities(F.col("_t")))
+    whole = whole.withColumn("_found", entities(F.col("_t"), reach))
     held = whole.where("size(_found) > 0").withColumns({"base": F.transform("_found", lambda s: F.struct(s["kind"], s["start"], s["end"])).cast(kind), "_uid": F.monotonically_increasing_id()})
     held = durable(held.withColumn("_bare", blanked(F.col("_t"), F.col("base"))))
     told = durable(disclosure(whole.select("_t"), "_t", held.select("_uid", "_bare", "_found"), share, support))

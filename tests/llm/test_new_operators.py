@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cohortspark.llm import licenses, packing, prefix_trie, queries, whitening
+from cohortspark.llm import licenses, packing, pii, prefix_trie, queries, whitening
 
 # 11
 
@@ -260,3 +260,17 @@ def test_license_text_with_twenty_thousand_hits(spark):
     place = lambda d, k: (d.start + k * width, d.end + k * width, d.priority, d.label)
     assert [place(d, 0) for d in many.detections] == [place(d, k) for k in range(10_000) for d in one.detections]
     assert sorted(b.start for b in many.base) == sorted(b.start + k * width for k in range(10_000) for b in one.base)
+
+
+# 7
+
+
+def test_reach_of_an_entity(spark):
+    """A term that discloses an address is found if it ends before the last of `reach` characters, and else not."""
+    rows = [(i, "only@one.example " + "x" * 9 + " Zanzibar " + f"w{i}") for i in range(6)] + [(100 + i, f"other{i}@mail.example and words {i}") for i in range(40)]
+    rows += [(200 + i, f"plain text {i} of no address") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    end = len(" " + "x" * 9 + " Zanzibar")
+    for reach, found in ((end + 1, True), (end, False), (pii.REACH, True)):
+        got = {r.doc_id: {r.text[s.start : s.end] for s in r.spans if s.kind == "term"} for r in pii.find(df, reach=reach).collect()}
+        assert all(("Zanzibar" in got[i]) == found for i in range(6))
