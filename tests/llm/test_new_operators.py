@@ -268,7 +268,8 @@ def test_license_text_with_twenty_thousand_hits(spark):
 def test_reach_of_an_entity(spark):
     """A term that discloses an address is found if it ends before the last of `reach` characters, and else not."""
     rows = [(i, "only@one.example " + "x" * 9 + " Zanzibar " + f"w{i}") for i in range(6)] + [(100 + i, f"other{i}@mail.example and words {i}") for i in range(40)]
-    rows += [(200 + i, f"plain text {i} of no address") for i in range(200)]
+    # Two plain texts with the term: enough to keep it from disclosing the kind, few enough not to hide the address.
+    rows += [(200 + i, f"plain text {i} of no address" + " Zanzibar" * (i < 2)) for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     end = len(" " + "x" * 9 + " Zanzibar")
     for reach, found in ((end + 1, True), (end, False), (pii.REACH, True)):
