@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.scalars import choose
 from ..operators import assign
 from ..operators.edges import group_distance, weighted
-from ..operators.graph import connected_components
+from ..operators.graph import connected_components, durable
 from ..operators.scaling import robust_apply, robust_params
 from ..registry import Tables, query
 from .cohort import EDGES_SQL, FEATURES, SETS_SQL, UNITS_SQL, edges, sets, units
@@ -271,12 +271,41 @@ def fold_objective(t: Tables) -> DataFrame:
 
 @query("mg24_fold_search")
 def fold_search(t: Tables) -> DataFrame:
-    """Folds of the nations by greedy placement, then moves and swaps, from three seeds; nations are few."""
+    """Folds of the nations by greedy placement, moves, swaps and annealing, from three seeds."""
     from ..operators.folds import balanced_folds
 
     return balanced_folds(units(t).withColumn("done", (F.col("status") == "F").cast("int")), "nation", ["price", "bal", "done"], folds=5, seeds=(7, 11, 21))
 
 
+def customer_folds(t: Tables) -> DataFrame:
+    """Folds of groups of ten customers under the three profiles; groups that follow one another are neighbours."""
+    from ..operators.folds import searched_folds
+
+    u = t.once("units", lambda: units(t)).withColumn("block", F.floor(F.col("customer") / 10))
+    near = u.select(F.col("block").alias("a")).distinct().select("a", (F.col("a") + 1).alias("b"))
+    categories = {"grade": F.col("status"), "geology": F.col("segment"), "landcover": F.col("priority"), "missing": F.col("bal") < 0, "municipality": F.col("region")}
+    return searched_folds(u, "block", categories, {c: F.col(c) for c in FEATURES}, near, steps=2000)
+
+
+@query("mg24_fold_annealing")
+def fold_annealing(t: Tables) -> DataFrame:
+    from ..operators.folds import best_folds
+
+    return best_folds(customer_folds(t), "block", "balanced")
+
+
+@query("mg24_fold_invariants", f"WITH {UNITS_SQL}, g AS (SELECT customer // 10 AS block, count(*) AS n FROM units GROUP BY 1) SELECT profile, count(*) AS groups, sum(n)::BIGINT AS units, 5::BIGINT AS folds, 0::BIGINT AS in_two, 0::BIGINT AS worse, true AS even FROM g, (SELECT unnest(['structure', 'balanced', 'continuous']) AS profile) GROUP BY 1")
+def fold_invariants(t: Tables) -> DataFrame:
+    """Per profile: every group and unit in one fold, five folds, never worse than the greedy start, and folds within a
+    hundredth of an even count."""
+    found = customer_folds(t)
+    sizes = t.once("units", lambda: units(t)).groupBy(F.floor(F.col("customer") / 10).alias("block")).agg(F.count("*").alias("n"))
+    rows = durable(found.join(sizes, "block"))
+    per_fold = rows.groupBy("profile", "fold").agg(F.sum("n").alias("n")).groupBy("profile").agg((F.max("n") - F.min("n") <= 0.01 * F.sum("n")).alias("even"))
+    out = rows.groupBy("profile").agg(F.count_distinct("block").alias("groups"), F.sum("n").alias("units"), F.count_distinct("fold").alias("folds"), (F.count("*") - F.count_distinct("block")).alias("in_two"), F.count_if(F.col("score") > F.col("first") + 1e-9).alias("worse"))
+    return out.join(per_fold, "profile")
+
+
 @query("mg25_partition_choice", f"WITH {UNITS_SQL}, f AS (SELECT k, (nation * k) % 5 AS fold, count(*) AS n, avg(price) AS m FROM units, (SELECT unnest([1, 2, 3, 4]) AS k) GROUP BY ALL), s AS (SELECT k, count(DISTINCT fold) = 5 AS feasible, round((max(n) - min(n))::DOUBLE / sum(n), 6) AS spread, round(max(m) - min(m), 6) AS shift FROM f GROUP BY 1) SELECT k, spread, shift FROM s WHERE feasible ORDER BY spread, shift, k LIMIT 1")
 def partition_choice(t: Tables) -> DataFrame:
     f = units(t).select("nation", "price", F.explode(F.array(*map(F.lit, (1, 2, 3, 4)))).alias("k")).groupBy("k", (F.col("nation") * F.col("k") % 5).alias("fold")).agg(F.count("*").alias("n"), F.avg("price").alias("m"))
