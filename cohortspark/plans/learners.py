@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.scalars import rounded
+from ..operators import assign as A
 from ..operators import boosting as B
 from ..operators import learn as L
 from ..operators import metrics as M
-from ..operators.graph import durable
+from ..operators.adapter import KINDS, Baseline, BaselineModel
+from ..operators.bootstrap import paired_bootstrap
+from ..operators.graph import durable, shared_folder
+from ..operators.scaling import robust_apply, robust_params
 from ..registry import Tables, query
-from .cohort import FEATURES, MEMBERS_SQL, UNITS_SQL, members, units
+from .cohort import FEATURES, MEMBERS_SQL, SETS_SQL, UNITS_SQL, members, scaled, sets, units
 
 RAW = tuple(f"z_{c}" for c in FEATURES)
 CONTEXT = tuple(f"r_{c}" for c in FEATURES)
@@ -144,6 +150,77 @@ def spy_pu(t: Tables) -> DataFrame:
     return judged(out_of_fold(training(t), lambda x: L.spy_pu(x, "unit_id", "label")), "spy_pu")
 
 
+@query("ml11_tabular_baselines")
+def tabular_baselines(t: Tables) -> DataFrame:
+    """Every kind of baseline through the one contract: fold 1 chooses the setting, fold 0 is scored."""
+    df = training(t).withColumn("valid", F.col("fold") == 1)
+    rows = []
+    for kind in KINDS:
+        model = Baseline(kind, len(RAW) + len(CONTEXT)).fit(df.where("fold <> 0"))
+        scored = durable(model.transform(df.where("fold = 0")).select("set_id", "slot", "unit_id", "label", "fold", "score"))
+        rows.append(judged(scored, kind).withColumn("setting", F.lit(str(model.selected_config()))))
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query("ml14_adapter_contract", f"WITH {MEMBERS_SQL} SELECT kind, count(*) AS scored, 0::BIGINT AS changed, 0::BIGINT AS outside FROM scores, (SELECT unnest({list(KINDS)!r}) AS kind) WHERE set_id // 20 % 5 = 0 GROUP BY 1")
+def adapter_contract(t: Tables) -> DataFrame:
+    """Rows scored by each kind, those that a saved and reread model scores otherwise, and scores outside 0 to 1."""
+    df = training(t).withColumn("valid", F.col("fold") == 1)
+    rows = []
+    for kind in KINDS:
+        model = Baseline(kind, len(RAW) + len(CONTEXT)).fit(df.where("fold <> 0"))
+        path = f"{shared_folder(t.spark)}/baseline-{uuid.uuid4().hex}"
+        model.save(path)
+        twice = BaselineModel.load(path).transform(model.transform(df.where("fold = 0")).withColumnRenamed("score", "first"))
+        differ = F.count_if(F.abs(F.col("first") - F.col("score")) > 1e-12)
+        rows.append(twice.agg(F.lit(kind).alias("kind"), F.count("*").alias("scored"), differ.alias("changed"), F.count_if(~F.col("score").between(0, 1)).alias("outside")))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def rematched(t: Tables) -> DataFrame:
+    """(set_id, slot, unit_id) of a new matching: the cases of the largest support with two controls of their own each, at
+    least total distance."""
+    from .matching import graph
+
+    g = t.once("graph", lambda: graph(t))
+    a = A.cheapest_assignment(g, A.common_support(g))
+    slot = F.row_number().over(Window.partitionBy("p").orderBy("cost", "c"))
+    own = durable(a.withColumn("slot", slot).select(F.col("p").alias("set_id"), "slot", F.col("c").alias("unit_id")))
+    return own.union(own.select("set_id").distinct().select("set_id", F.lit(0).alias("slot"), F.col("set_id").alias("unit_id")))
+
+
+@query(
+    "sp25_prepared_cohort",
+    f"""WITH {SETS_SQL}, m AS (SELECT s.set_id, slot, u.*, set_id // 20 % 5 AS fold FROM sets s JOIN units u USING (unit_id)),
+tr AS (SELECT quantile_cont(ln(1 + price), 0.5) AS pm, quantile_cont(ln(1 + price), 0.75) - quantile_cont(ln(1 + price), 0.25) AS pi, quantile_cont(bal, 0.5) AS bm, quantile_cont(bal, 0.75) - quantile_cont(bal, 0.25) AS bi FROM m WHERE fold <> 0)
+SELECT set_id, slot::INTEGER AS slot, unit_id, fold, round((ln(1 + price) - pm) / pi, 6) AS price, round((bal - bm) / bi, 6) AS bal, (status = 'F')::INTEGER AS finished, (status = 'O')::INTEGER AS open, CASE WHEN slot = 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS weight FROM m, tr""",
+)
+def prepared_cohort(t: Tables) -> DataFrame:
+    """A matched cohort made ready for a learner: scales of the training folds' members, categories as columns, role weights."""
+    m = durable(sets(t).join(units(t), "unit_id").withColumn("fold", F.floor(F.col("set_id") / 20) % FOLDS))
+    z = robust_apply(m, robust_params(m.where("fold <> 0"), ["price", "bal"], log1p=["price"]), ["price", "bal"], log1p=["price"])
+    flag = lambda s: (F.col("status") == s).cast("int")
+    weight = F.when(F.col("slot") == 0, 1.0).otherwise(0.5)
+    return z.select("set_id", "slot", "unit_id", "fold", rounded(F.col("z_price")).alias("price"), rounded(F.col("z_bal")).alias("bal"), flag("F").alias("finished"), flag("O").alias("open"), weight.alias("weight"))
+
+
+@query("sp26_retrained")
+def retrained(t: Tables) -> DataFrame:
+    """Learners anew on a new matching: sets without reuse, raw values against values relative to the set, each scored out
+    of fold, and the paired bootstrap of their strict shares."""
+    own = Window.partitionBy("set_id")
+    m = rematched(t).join(scaled(t), "unit_id").withColumns({f"r_{c}": F.col(f"z_{c}") - F.avg(f"z_{c}").over(own) for c in FEATURES})
+    m = durable(m.withColumns({"label": (F.col("slot") == 0).cast("double"), "fold": F.floor(F.col("set_id") / 20) % FOLDS, "weight": F.when(F.col("slot") == 0, 1.0).otherwise(0.5)}))
+    arms = {}
+    for arm, columns in (("raw", RAW), ("context", (*RAW, *CONTEXT))):
+        scored = out_of_fold(L.assembled(m, columns), by_model(lambda x: L.elastic_net(x, "label", "weight")))
+        arms[arm] = M.set_outcomes(scored.withColumn("y", F.col("label").cast("int")), "score").select("set_id", F.col("strict").alias(arm))
+    both = durable(arms["raw"].join(arms["context"], "set_id"))
+    found = paired_bootstrap(both, "set_id", "raw", "context", 2000)
+    shares = both.agg(F.count("*").alias("sets"), rounded(F.avg("raw")).alias("raw_strict"), rounded(F.avg("context")).alias("context_strict"))
+    return shares.join(F.broadcast(found.select(*(rounded(F.col(c)).alias(c) for c in ("observed", "low", "high", "two_sided_p")), "supported")))  # a row each
+
+
 @query(
     "ml10_threshold_rule",
     f"""WITH {UNITS_SQL}, c AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, unnest(list_distinct(quantile_cont({c}, [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95]))) AS threshold FROM units" for c in FEATURES)}),
