@@ -248,7 +248,8 @@ def binding_rule(t: Tables) -> DataFrame:
 
 @query("mg22_reuse_audit", f"WITH {SETS_SQL}, m AS (SELECT unit_id, set_id AS first_set, lead(set_id) OVER (PARTITION BY unit_id ORDER BY set_id) AS second_set FROM sets WHERE slot > 0) SELECT m.unit_id, first_set, second_set, round(abs(p.price - q.price), 4) AS price_gap FROM m JOIN units p ON p.unit_id = first_set JOIN units q ON q.unit_id = second_set")
 def reuse_audit(t: Tables) -> DataFrame:
-    """Each use of a control with its next use: a row per further use, which with two uses at most are all pairs."""
+    """Each use of a control with its next use, a row per further use. These sets reuse controls without a limit, so uses
+    that do not follow one another are not paired; under a capacity of two all are."""
     after = F.lead("set_id").over(Window.partitionBy("unit_id").orderBy("set_id"))
     m = sets(t).where("slot > 0").select("unit_id", F.col("set_id").alias("first_set"), after.alias("second_set")).where("second_set is not null")
     price = lambda k: units(t).select(F.col("unit_id").alias(k), F.col("price").alias(f"p_{k}"))

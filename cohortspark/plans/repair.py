@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.graph import durable
 from ..operators.statistics import smd
 from ..registry import Tables, query
 from .cohort import EDGES_SQL, FEATURES, MEMBERS_SQL, SETS_SQL, UNITS_SQL, edges, scores, sets, units
+from .representation import CHANNELS, TENSOR_SQL, tensor
+from .windows import HOURS, rain
 
 R = F.round
 # The corrected core leaves out every seventh unit.
@@ -105,13 +110,35 @@ def label_snapshot(t: Tables) -> DataFrame:
     return part("slot = 0", "case", 1).unionByName(part("slot > 0", "control", 0))
 
 
-@query("sp13_field_resolution", "SELECT * FROM (VALUES (0, 'o_totalprice'), (1, 'o_orderdate')) v(position, field)")
+# Fields that are asked for, in order; some are in no table, one is banned, one has no value in any row of the first table.
+WANTED = ("o_totalprice", "c_acctbal", "n_missing", "p_size", "c_phone", "o_orderdate", "l_quantity", "c_nationkey")
+BANNED = ("c_phone",)
+_FOUND_SQL = " UNION ALL ".join(
+    f"SELECT {WANTED.index(f)} AS position, '{f}' AS field, '{table}' AS source, count({f}) AS present, count(DISTINCT {f}) AS n_distinct FROM {table}"
+    for f, table in (("o_totalprice", "orders"), ("c_acctbal", "customer"), ("p_size", "part"), ("o_orderdate", "orders"), ("l_quantity", "lineitem"), ("c_nationkey", "customer"))
+)
+
+
+@query("sp13_field_resolution", f"SELECT position, field, source, present, n_distinct, row_number() OVER (ORDER BY position) - 1 AS place FROM ({_FOUND_SQL}) WHERE present > 0")
 def field_resolution(t: Tables) -> DataFrame:
+    """Fields of a whitelist, each in the first of several tables whose schema has it, with its values counted; banned and
+    empty ones go, and the others get their places."""
     from ..sources.tables import facts
 
-    wanted = t.spark.createDataFrame([(0, "o_totalprice"), (1, "o_orderdate"), (2, "missing")], "position int, field string")
-    banned = t.spark.createDataFrame([("o_custkey",)], "field string")
-    return wanted.join(facts(t.orders).select("field"), "field").join(banned, "field", "left_anti").select("position", "field")
+    tables = {name: getattr(t, name) for name in ("orders", "customer", "part", "lineitem")}
+    known: dict[str, str] = {}
+    for name, df in tables.items():
+        for r in facts(df).select("field").collect():  # a row per column
+            known.setdefault(r.field, name)
+    asked = [f for f in WANTED if f in known and f not in BANNED]
+    rows = []
+    for name, df in tables.items():
+        own = [f for f in asked if known[f] == name]
+        if own:
+            counts = df.agg(*(F.struct(F.lit(WANTED.index(f)).alias("position"), F.lit(f).alias("field"), F.lit(name).alias("source"), F.count(f).alias("present"), F.count_distinct(f).alias("n_distinct")).alias(f"c{i}") for i, f in enumerate(own)))
+            rows.append(counts.select(F.explode(F.array(*(f"c{i}" for i in range(len(own))))).alias("c")).select("c.*"))
+    found = reduce(DataFrame.unionByName, rows).where("present > 0")
+    return found.withColumn("place", (F.row_number().over(Window.orderBy("position")) - 1).cast("long"))  # a row per field
 
 
 @query("sp14_recommended_scenario", f"WITH {EDGES_SQL}, s AS (SELECT most, count(DISTINCT p_unit_id) AS cases, round(avg(dist), 6) AS cost FROM edges, (SELECT unnest([0.1, 0.2, 0.4, 0.8]) AS most) WHERE dist <= most GROUP BY 1) SELECT most::DOUBLE AS most, cases FROM s WHERE cases >= 300 ORDER BY most, cost LIMIT 1")
@@ -147,11 +174,21 @@ def model_transitions(t: Tables) -> DataFrame:
     return w.groupBy((F.col("set_id") % 3).alias("seed")).agg(gained.alias("gained"), lost.alias("lost"), (gained - lost).alias("net"))
 
 
-@query("sp20_content_replay", "SELECT count(*) AS n, max(abs(e::DOUBLE - e::DOUBLE))::DOUBLE AS max_abs FROM (SELECT unnest(embedding) AS e FROM embeddings)")
+@query("sp20_content_replay", f"WITH {TENSOR_SQL}, v AS (SELECT user_id, unnest(r) AS x FROM tensor) SELECT count(DISTINCT user_id) AS series, count(*) AS values, round(sum(x), 2) AS total, 0::BIGINT AS differing FROM v")
 def content_replay(t: Tables) -> DataFrame:
-    long = t.embeddings.select("vec_id", F.posexplode("embedding").alias("i", "x"))
-    again = t.embeddings.select("vec_id", F.posexplode("embedding").alias("i", "w"))
-    return long.join(again, ["vec_id", "i"]).agg(F.count("*").alias("n"), F.max(F.abs(F.col("x").cast("double") - F.col("w").cast("double"))).alias("max_abs"))
+    """The stored rain tensor against one recomputed by another route, from window frames over the series."""
+    stored = durable(tensor(t)).select("user_id", F.posexplode("r").alias("i", "x"))
+    own = Window.partitionBy("user_id").orderBy("slot")
+    frames = rain(t).withColumns({f"h{h}": F.sum("v").over(own.rowsBetween(1 - 2 * h, 0)) for h in HOURS})
+    powers = F.transform(F.array_sort(F.collect_list(F.struct("slot", "v")).over(own.rowsBetween(-239, 0))), lambda s: s["v"])
+    frames = frames.withColumn("back", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("slot")))).withColumn("past", powers).where("back <= 70")
+    api = F.aggregate("past", F.lit(0.0), lambda a, x: a * 0.9 + x)
+    flat = frames.select("user_id", "slot", F.posexplode(F.array("v", *(f"h{h}" for h in HOURS), api)).alias("k", "w"), (70 - F.col("back")).alias("at"))
+    n = F.count("*").over(Window.partitionBy("user_id"))
+    again = flat.withColumn("shift", 70 - n / len(CHANNELS)).select("user_id", ((F.col("at") - F.col("shift")) * len(CHANNELS) + F.col("k")).cast("int").alias("i"), "w")
+    both = stored.join(again, ["user_id", "i"], "full")
+    differ = F.count_if(F.coalesce(F.abs(F.col("x") - F.col("w")) > 1e-6 * F.greatest(F.lit(1.0), F.abs("x")), F.lit(True)))
+    return both.agg(F.count_distinct("user_id").alias("series"), F.count("*").alias("values"), R(F.sum("x"), 2).alias("total"), differ.alias("differing"))
 
 
 BALANCE = "(avg({c}) FILTER (y = 1) - avg({c}) FILTER (y = 0)) / sqrt((var_samp({c}) FILTER (y = 1) + var_samp({c}) FILTER (y = 0)) / 2)"

@@ -93,7 +93,15 @@ def block_audit(t: Tables) -> DataFrame:
     return u.groupBy(block.alias("block")).agg(F.count("*").alias("n"), strict("raw").alias("raw_strict"), strict("ctx").alias("ctx_strict"))
 
 
-@query("me11_reproduction_audit", f"WITH {SETSCORE_SQL}, a AS (SELECT avg({STRICT.format(a='ctx')}) AS v FROM setscore) SELECT round(v, 6) AS reported, abs(round(v, 6) - v) <= 1e-6 AS reproduced FROM a")
+@query(
+    "me11_reproduction_audit",
+    f"""WITH {SETSCORE_SQL}, one AS (SELECT set_id, {STRICT.format(a='ctx')} AS strict FROM setscore),
+two AS (SELECT set_id, (count(*) FILTER (slot > 0 AND ctx >= (SELECT max(b.ctx) FROM scores b WHERE b.set_id = a.set_id AND b.slot = 0)) = 0)::INTEGER AS strict FROM scores a GROUP BY 1)
+SELECT (SELECT round(avg(strict), 6) FROM one) AS reported, (SELECT round(avg(strict), 6) FROM two) AS recomputed, count(*) AS sets, count(*) FILTER (one.strict IS DISTINCT FROM two.strict) AS disagree FROM one FULL JOIN two USING (set_id)""",
+)
 def reproduction_audit(t: Tables) -> DataFrame:
-    a = M.set_outcomes(scores(t), "ctx").agg(F.avg("strict").alias("v"))
-    return a.select(R("v", 6).alias("reported"), (F.abs(R("v", 6) - F.col("v")) <= 1e-6).alias("reproduced"))
+    """The strict share from members, set by set against that from the sets' three scores."""
+    one = set_scores(t).select("set_id", (F.col("ctx_p") > F.greatest("ctx_1", "ctx_2")).cast("int").alias("reported"))
+    two = M.set_outcomes(scores(t), "ctx").select("set_id", F.col("strict").alias("recomputed"))
+    both = one.join(two, "set_id", "full")
+    return both.agg(R(F.avg("reported"), 6).alias("reported"), R(F.avg("recomputed"), 6).alias("recomputed"), F.count("*").alias("sets"), F.count_if(~F.col("reported").eqNullSafe(F.col("recomputed"))).alias("disagree"))
