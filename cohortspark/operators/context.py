@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,44 +43,74 @@ def as_vector(df: DataFrame, by: Sequence[str], position: str, value: str) -> Da
     return rows.withColumn("v", F.transform("v", lambda s: s[value]))
 
 
-# What each ablation holds, in order; s and r are static values and series, each raw, signed, absolute
-# deviations, and the seven statistics of the series' signed deviations.
+BLOCKS = ("static", "static_dev", "static_abs", "series", "series_dev", "series_abs", "series_stats")
+# What each ablation holds, in order. Blocks are static values and flat series as they are, their deviations from
+# the set's mean, signed and absolute, and STATISTICS of each channel's signed deviations.
 ABLATIONS = {
-    "A0": ("s_raw", "r_raw"),
-    "A1": ("s_raw", "r_raw", "s_signed", "r_signed"),
-    "A2": ("s_raw", "r_raw", "s_abs", "r_abs"),
-    "A3": ("s_raw", "r_raw", "s_signed", "s_abs", "r_signed", "r_abs"),
-    "A4": ("s_raw", "s_signed", "s_abs", "r_raw"),
-    "A5": ("s_raw", "r_raw", "r_signed", "r_abs", "r_seven"),
-    "A6": ("s_raw", "s_signed", "s_abs", "r_raw", "r_signed", "r_abs", "r_seven"),
+    "A0": ("static", "series"),
+    "A1": ("static", "series", "static_dev", "series_dev"),
+    "A2": ("static", "series", "static_abs", "series_abs"),
+    "A3": ("static", "series", "static_dev", "static_abs", "series_dev", "series_abs"),
+    "A4": ("static", "static_dev", "static_abs", "series"),
+    "A5": ("static", "series", "series_dev", "series_abs", "series_stats"),
+    "A6": ("static", "static_dev", "static_abs", "series", "series_dev", "series_abs", "series_stats"),
 }
 
 
-BLOCKS = ("s_raw", "s_signed", "s_abs", "r_raw", "r_signed", "r_abs", "r_seven")
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
-def set_blocks(df: DataFrame, set_id: str, unit: str, static: str, series: str, channels: int, rows: int = 128) -> DataFrame:
-    """(set_id, unit, s_raw, s_signed, s_abs, r_raw, r_signed, r_abs, r_seven) of each member of a set. static and series
-    are arrays, series flat, time by time; r_seven holds STATISTICS of the signed deviations of each channel, all means
-    first. Members of a set, three by contract, meet in one row, and `rows` of these are worked out at a time, as whole
-    arrays; labels are no input."""
-    g = df.groupBy(set_id).agg(F.sort_array(F.collect_list(F.struct(F.col(unit).alias("unit"), F.col(static).alias("s"), F.col(series).alias("r")))).alias("m"))
-    kinds = dict(df.dtypes)
-    g = g.select(set_id, "m.unit", "m.s", "m.r")
+def channel_statistics(flat: Column, channels: int) -> Column:
+    """STATISTICS of each channel of a flat series (time by time), each statistic for all channels in turn."""
+    each = F.transform(F.sequence(F.lit(0), F.lit(channels - 1)), lambda c: F.transform(F.sequence(F.lit(0), F.floor(F.size(flat) / channels).cast("int") - 1), lambda t: F.get(flat, t * channels + c)))
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for at in range(0, len(b), rows):
-                out = []
-                for key, units, s, r in b.iloc[at : at + rows].itertuples(index=False):
-                    s, r = np.stack([np.asarray(x, dtype=float) for x in s]), np.stack([np.asarray(x, dtype=float) for x in r])
-                    ds, dr = s - s.mean(0), r - r.mean(0)
-                    x = dr.reshape(len(dr), -1, channels)
-                    seven = np.concatenate([x.mean(1), x.std(1), x.max(1), x.min(1), x.sum(1), x[:, -1], np.abs(x).max(1)], axis=1)
-                    out += list(zip([key] * len(s), units, s, ds, np.abs(ds), r, dr, np.abs(dr), seven, strict=True))
-                yield pd.DataFrame(out, columns=[set_id, unit, *BLOCKS])
+    def spread(x: Column) -> Column:
+        return F.sqrt(F.aggregate(F.transform(F.array(total(x) / F.size(x)), lambda m: total(F.transform(x, lambda v: (v - m) * (v - m))) / F.size(x)), F.lit(0.0), lambda a, v: a + v))
 
-    return g.mapInPandas(work, f"{set_id} {kinds[set_id]}, {unit} {kinds[unit]}, " + ", ".join(f"{c} array<double>" for c in BLOCKS))
+    of = {"mean": lambda x: total(x) / F.size(x), "std": spread, "max": F.array_max, "min": F.array_min, "sum": total, "last": lambda x: F.element_at(x, -1), "maxabs": lambda x: F.array_max(F.transform(x, F.abs))}
+    return F.flatten(F.transform(F.array(each), lambda e: F.concat(*(F.transform(e, of[k]) for k in STATISTICS))))
+
+
+def _gathered(df: DataFrame, set_id: str, unit: str, static: str, series: str) -> DataFrame:
+    """A row per set: m, its members (unit, s, r), and the means ms and mr of their values."""
+    own = F.struct(F.col(unit).alias("unit"), F.col(static).cast("array<double>").alias("s"), F.col(series).cast("array<double>").alias("r"))
+
+    def mean(part: str) -> Column:
+        summed = F.aggregate(F.slice("m", 2, F.size("m")), F.element_at("m", 1)[part], lambda a, x: F.zip_with(a, x[part], lambda u, v: u + v))
+        return F.transform(summed, lambda v: v / F.size("m"))
+
+    return df.groupBy(set_id).agg(F.sort_array(F.collect_list(own)).alias("m")).select(set_id, "m", mean("s").alias("ms"), mean("r").alias("mr"))
+
+
+def _about(rows: DataFrame, set_id: str, unit: str, channels: int) -> DataFrame:
+    """BLOCKS of rows with m (unit, s, r) about the means ms and mr."""
+    away = lambda x, m: F.zip_with(x, m, lambda u, v: u - v)
+    rows = rows.select(set_id, F.col("m.unit").alias(unit), F.col("m.s").alias("static"), F.col("m.r").alias("series"), away("m.s", "ms").alias("static_dev"), away("m.r", "mr").alias("series_dev"))
+    size = lambda c: F.transform(c, F.abs)
+    return rows.select(set_id, unit, "static", "static_dev", size("static_dev").alias("static_abs"), "series", "series_dev", size("series_dev").alias("series_abs"), channel_statistics(F.col("series_dev"), channels).alias("series_stats"))
+
+
+def set_blocks(df: DataFrame, set_id: str, unit: str, static: str, series: str, channels: int) -> DataFrame:
+    """(set_id, unit, BLOCKS) of each member of a set. static and series are arrays of one length in all rows, series flat,
+    time by time. Members of a set, three by contract, meet in one row for their means; labels are no input."""
+    return _about(_gathered(df, set_id, unit, static, series).select(set_id, F.explode("m").alias("m"), "ms", "mr"), set_id, unit, channels)
+
+
+def alien_blocks(df: DataFrame, set_id: str, unit: str, static: str, series: str, channels: int) -> DataFrame:
+    """The same about the means of another set, the next in a seeded order: a placebo whose context says nothing."""
+    sets = _gathered(df, set_id, unit, static, series)
+    means = sets.select(F.col(set_id).alias("other"), "ms", "mr")
+    rows = sets.select(set_id, F.explode("m").alias("m")).join(derangement(df, set_id), set_id).join(means, "other")
+    return _about(rows, set_id, unit, channels)
+
+
+def global_blocks(df: DataFrame, set_id: str, unit: str, static: str, series: str, channels: int) -> DataFrame:
+    """The same about the means over all rows of df, a number for each value: the other placebo."""
+    mean = lambda c: [r.m for r in df.select(F.posexplode(c).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").collect()]
+    own = F.struct(F.col(unit).alias("unit"), F.col(static).cast("array<double>").alias("s"), F.col(series).cast("array<double>").alias("r"))
+    ms, mr = (F.array(*map(F.lit, mean(c))).cast("array<double>") for c in (static, series))
+    return _about(df.select(set_id, own.alias("m"), ms.alias("ms"), mr.alias("mr")), set_id, unit, channels)
 
 
 def variant(name: str) -> Column:

@@ -18,10 +18,10 @@ def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
 
 
-def elastic_net(df: DataFrame, label: str, weight: str | None = None, c: float = 1.0, l1_ratio: float = 0.5, intercept: bool = True):
+def elastic_net(df: DataFrame, label: str, weight: str | None = None, c: float = 1.0, l1_ratio: float = 0.5, intercept: bool = True, iterations: int = 100):
     """Logistic regression with penalty 1 / (c * total weight), as Spark's loss is a mean."""
     total = df.agg(F.sum(weight) if weight else F.count("*")).first()[0] or 1
-    lr = LogisticRegression(labelCol=label, elasticNetParam=l1_ratio, regParam=1.0 / (c * float(total)), standardization=False, fitIntercept=intercept)
+    lr = LogisticRegression(labelCol=label, elasticNetParam=l1_ratio, regParam=1.0 / (c * float(total)), standardization=False, fitIntercept=intercept, maxIter=iterations)
     return (lr.setWeightCol(weight) if weight else lr).fit(df)
 
 

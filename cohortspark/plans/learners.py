@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -150,6 +151,33 @@ def spy_pu(t: Tables) -> DataFrame:
     return judged(out_of_fold(training(t), lambda x: L.spy_pu(x, "unit_id", "label")), "spy_pu")
 
 
+@query("ml_ablation_scores")
+def ablation_scores(t: Tables) -> DataFrame:
+    """AUROC out of fold of every ablation of the 792 and 2,446 value layouts and of the two placebos, five folds of whole
+    sets. Label: the class of the embedding is one of every third."""
+    from ..operators import context as C
+    from .representation import CHANNELS, set_members
+
+    rows = durable(set_members(t).join(t.embeddings.select(F.col("vec_id").alias("unit_id"), (F.col("label") % 3 == 0).cast("double").alias("label")), "unit_id"))
+    fold = F.pmod(F.xxhash64("set_id"), F.lit(FOLDS)).alias("fold")
+    labels = rows.select("unit_id", "label", fold)
+    out = []
+    kinds = {"set": (C.set_blocks, list(C.ABLATIONS)), "alien": (C.alien_blocks, ["A6"]), "global": (C.global_blocks, ["A6"])}
+    for kind, (blocks, names) in kinds.items():
+        own = durable(blocks(rows, "set_id", "unit_id", "s", "r", len(CHANNELS)).join(labels, "unit_id"))
+        for name in names:
+            df = durable(own.select("unit_id", "label", "fold", C.variant(name).alias("x")))
+            width = df.agg(F.max(F.size("x"))).first()[0]
+            df = df.withColumn("features", array_to_vector("x"))
+            parts = []
+            for k in range(FOLDS):
+                model = L.elastic_net(df.where(F.col("fold") != k), "label", c=0.1, iterations=8)
+                parts.append(L.probability(model, df.where(F.col("fold") == k), "score").select("score", F.col("label").cast("int").alias("y")))
+            auc = M.auroc(durable(reduce(DataFrame.unionByName, parts)), "score", "y")
+            out.append(auc.select(F.lit(kind).alias("context"), F.lit(name).alias("variant"), F.lit(width).alias("dim"), rounded(F.col("auroc")).alias("auroc")))
+    return reduce(DataFrame.unionByName, out)
+
+
 @query("ml11_tabular_baselines")
 def tabular_baselines(t: Tables) -> DataFrame:
     """Every kind of baseline through the one contract: fold 1 chooses the setting, fold 0 is scored."""

@@ -81,9 +81,9 @@ BLOCKS_SQL = f"""{TENSOR_SQL},
 ls AS (SELECT *, x - avg(x) OVER (PARTITION BY set_id, i) AS d FROM (SELECT set_id, unit_id, unnest(range(92)) AS i, unnest(s) AS x FROM member)),
 lr AS (SELECT *, x - avg(x) OVER (PARTITION BY set_id, i) AS d FROM (SELECT set_id, unit_id, unnest(range(700)) AS i, unnest(r) AS x FROM member)),
 seven AS (SELECT unit_id, i % 10 AS c, [avg(d), stddev_pop(d), max(d), min(d), sum(d), last(d ORDER BY i), max(abs(d))] AS z FROM lr GROUP BY ALL),
-z AS (SELECT unit_id, list(z[k] ORDER BY k, c) AS r_seven FROM seven, (SELECT unnest(range(1, 8)) AS k) GROUP BY 1),
-blk AS (SELECT * FROM (SELECT unit_id, list(x ORDER BY i) AS s_raw, list(d ORDER BY i) AS s_signed, list(abs(d) ORDER BY i) AS s_abs FROM ls GROUP BY 1)
-  JOIN (SELECT unit_id, list(x ORDER BY i) AS r_raw, list(d ORDER BY i) AS r_signed, list(abs(d) ORDER BY i) AS r_abs FROM lr GROUP BY 1) USING (unit_id) JOIN z USING (unit_id))"""
+z AS (SELECT unit_id, list(z[k] ORDER BY k, c) AS series_stats FROM seven, (SELECT unnest(range(1, 8)) AS k) GROUP BY 1),
+blk AS (SELECT * FROM (SELECT unit_id, list(x ORDER BY i) AS static, list(d ORDER BY i) AS static_dev, list(abs(d) ORDER BY i) AS static_abs FROM ls GROUP BY 1)
+  JOIN (SELECT unit_id, list(x ORDER BY i) AS series, list(d ORDER BY i) AS series_dev, list(abs(d) ORDER BY i) AS series_abs FROM lr GROUP BY 1) USING (unit_id) JOIN z USING (unit_id))"""
 # The second sum weighs values by their place, so that it shows an order other than the layout's.
 _SEEN = "len({f})::INTEGER AS dim, round(list_sum({f}), 2) AS total, round(list_sum(list_transform(range(1, len({f}) + 1), lambda k: k * {f}[k])) / len({f}), 2) AS by_place"
 
