@@ -25,10 +25,14 @@ def quantiles(df: DataFrame, columns: Mapping[str, Column], probs: Sequence[floa
     gets two numbers for each column and quantile."""
     names, step = list(columns), 3.0 / accuracy
     x = df.select(*[F.nanvl(c.cast("double"), F.lit(None).cast("double")).alias(f"x{i}") for i, c in enumerate(columns.values())])
-    count = x.agg(*[F.count(c).alias(c) for c in x.columns]).first().asDict()
-    # Brackets reach two rows farther than the sketch's error, as a quantile lies between two rows.
-    ends = {c: [e for p in probs for e in (max(0.0, p - step - 2 / max(n, 1)), min(1.0, p + step + 2 / max(n, 1)))] for c, n in count.items()}
-    seen = x.agg(*[F.percentile_approx(c, ends[c], accuracy).alias(c) for c in x.columns]).first()
+    around = lambda margin: [e for p in probs for e in (max(0.0, p - step - margin), min(1.0, p + step + margin))]
+    sketch = lambda c, margin: F.percentile_approx(c, around(margin), accuracy).alias(c)
+    first = x.agg(*[F.count(c).alias(f"n_{c}") for c in x.columns], *[sketch(c, 0.0) for c in x.columns]).first()
+    count, seen = {c: first[f"n_{c}"] for c in x.columns}, first.asDict()
+    # Brackets reach two rows farther than the sketch's error, as a quantile lies between two rows: with few rows they are
+    # drawn anew, with many the step beyond the error holds that many.
+    if few := [c for c, n in count.items() if 0 < n < 1000 * max(1, accuracy // 1000)]:
+        seen |= x.agg(*[sketch(c, 2 / count[c]) for c in few]).first().asDict()
     targets, below, inside = [], [], []
     for i, c in enumerate(x.columns):
         for j, p in enumerate(probs):

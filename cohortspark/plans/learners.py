@@ -17,6 +17,7 @@ from ..operators import assign as A
 from ..operators import boosting as B
 from ..operators import learn as L
 from ..operators import metrics as M
+from ..operators import network as N
 from ..operators.adapter import KINDS, Baseline, BaselineModel
 from ..operators.bootstrap import paired_bootstrap
 from ..operators.graph import durable, shared_folder
@@ -76,6 +77,37 @@ def perceptron(t: Tables) -> DataFrame:
     return judged(out_of_fold(training(t), by_model(lambda x: L.perceptron(x, "label", [6, 8, 2]))), "perceptron")
 
 
+@query("ml2_dropout_perceptron")
+def dropout_perceptron(t: Tables) -> DataFrame:
+    """Layers of 256 and 128 with a dropout of 0.2; the fold after the one left out ends the training."""
+    df = training(t).drop("features").withColumn("x", F.array(*(F.col(c).cast("double") for c in (*RAW, *CONTEXT))))
+    parts = []
+    for k in range(FOLDS):
+        net = N.fit(df.where(F.col("fold") != k), N.Network([len(RAW) + len(CONTEXT), 256, 128, 1]), "unit_id", "x", "label", "weight", F.col("fold") == (k + 1) % FOLDS, rounds=5, patience=2)
+        parts.append(N.applied(df.where(F.col("fold") == k), net, "x", "score").select("set_id", "slot", "unit_id", "label", "fold", "score"))
+    return judged(durable(reduce(DataFrame.unionByName, parts)), "dropout_perceptron")
+
+
+@query("ml9_pull_encoder")
+def pull_encoder(t: Tables) -> DataFrame:
+    """The 792 raw values of a unit through an encoder of 50, 100 and 50 that draws ones together, then bagged trees on its
+    outputs: AUROC of each fold, both fitted on the other four. Label as in ml_ablation_scores."""
+    from .representation import set_members
+
+    x = F.transform(F.concat("s", "r"), lambda v: F.signum(v) * F.log1p(F.abs(v)))
+    rows = set_members(t).join(t.embeddings.select(F.col("vec_id").alias("unit_id"), (F.col("label") % 3 == 0).cast("double").alias("label")), "unit_id")
+    df = durable(rows.select("set_id", "unit_id", "label", F.pmod(F.xxhash64("set_id"), F.lit(FOLDS)).alias("fold"), x.alias("x")))
+    width, parts = df.agg(F.max(F.size("x"))).first()[0], []
+    for k in range(FOLDS if width else 0):
+        train = df.where(F.col("fold") != k)
+        net = N.fit(train, N.Network([width, 50, 100, 50], N.PULL, dropout=0.0, rate=0.003), "unit_id", "x", "label", rounds=3)
+        encoded = durable(N.applied(df, net, "x", "e").withColumn("features", array_to_vector("e")))
+        score = L.pu_bagging(encoded.where(F.col("fold") != k), "unit_id", "label", bags=3, depth=4)
+        parts.append(score(encoded.where(F.col("fold") == k)).select("unit_id", "label", "fold", "score"))
+    held = durable(reduce(DataFrame.unionByName, parts)).withColumn("y", F.col("label").cast("int"))
+    return M.auroc(held, "score", "y", by=["fold"]).join(held.groupBy("fold").agg(F.count("*").alias("units")), "fold").select("fold", "units", rounded(F.col("auroc")).alias("auroc"))
+
+
 @query("ml4_boosted_trees")
 def boosted_trees(t: Tables) -> DataFrame:
     return judged(out_of_fold(training(t), by_model(lambda x: L.boosted(x, "label"))), "boosted_trees")
