@@ -26,8 +26,10 @@ def multi_aggregate(t: Tables) -> DataFrame:
 
 @query("ag3_quantiles", "SELECT o_orderstatus, " + ", ".join(f"round(quantile_cont(o_totalprice, {p}), 6) AS {n}" for n, p in (("p10", 0.1), ("q25", 0.25), ("med", 0.5), ("q75", 0.75), ("p90", 0.9), ("p95", 0.95))) + ", round(quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25), 6) AS iqr FROM orders GROUP BY 1")
 def quantiles(t: Tables) -> DataFrame:
+    from ..operators.statistics import grouped_quantiles
+
     names = ["p10", "q25", "med", "q75", "p90", "p95"]
-    q = t.orders.groupBy("o_orderstatus").agg(F.percentile("o_totalprice", F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9, 0.95)))).alias("q"))
+    q = grouped_quantiles(t.orders, ["o_orderstatus"], "o_totalprice", (0.1, 0.25, 0.5, 0.75, 0.9, 0.95))
     return q.select("o_orderstatus", *[R(F.col("q")[i], 6).alias(n) for i, n in enumerate(names)], R(F.col("q")[3] - F.col("q")[1], 6).alias("iqr"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scalars import choose
 from ..operators import assign
+from ..operators.digest import ordered_digests
 from ..operators.edges import group_distance, weighted
 from ..operators.graph import connected_components, durable
 from ..operators.scaling import robust_apply, robust_params
@@ -173,9 +174,8 @@ def components(t: Tables) -> DataFrame:
 
 @query("mg13_group_ids", f"WITH RECURSIVE {WALK_SQL} SELECT 'DSG_' || substr(sha256(string_agg(node::VARCHAR, '|' ORDER BY node)), 1, 16) AS group_id, count(*) AS n FROM comp GROUP BY root")
 def group_ids(t: Tables) -> DataFrame:
-    g = connected_components(links(t)).groupBy("root").agg(F.array_sort(F.collect_list("node")).alias("m"))
-    text = F.array_join(F.transform("m", lambda x: x.cast("string")), "|")
-    return g.select(F.concat(F.lit("DSG_"), F.substring(F.sha2(text, 256), 1, 16)).alias("group_id"), F.size("m").cast("long").alias("n"))
+    found = ordered_digests(connected_components(links(t)), "root", "node", "|")
+    return found.select(F.concat(F.lit("DSG_"), F.substring("digest", 1, 16)).alias("group_id"), "n")
 
 
 @query("mg14_component_sizes", f"WITH RECURSIVE {WALK_SQL} SELECT size, count(*) AS n FROM (SELECT root, count(*) AS size FROM comp GROUP BY 1) GROUP BY 1")

@@ -64,6 +64,27 @@ def schema_lookup(t: Tables) -> DataFrame:
     return S.facts(t.orders).where(F.col("field").isin("o_orderkey", "o_totalprice", "o_orderstatus")).select("field", "type")
 
 
+# Where orders are: by four fields, under their names in any table, and the ids that line items ask for.
+ORDER_FIELDS = {"order": ("o_orderkey", "l_orderkey", "order_id"), "customer": ("o_custkey", "c_custkey", "customer_id"), "total": ("o_totalprice", "total"), "date": ("o_orderdate", "order_date")}
+_HELD = {"orders": ("o_orderkey", 4), "lineitem": ("l_orderkey", 1), "customer": (None, 1), "part": (None, 0), "supplier": (None, 0), "events": (None, 0), "documents": (None, 0), "pages": (None, 0)}
+_HELD_SQL = " UNION ALL ".join(
+    f"SELECT '{n}' AS source, {k}::BIGINT AS fields, (SELECT count(*) FROM {n}) AS rows, "
+    + (f"(SELECT count(DISTINCT {c}) FROM {n} WHERE {c} IN (SELECT id FROM asked)) / (SELECT count(*) FROM asked)::DOUBLE" if c else "0::DOUBLE")
+    + " AS known"
+    for n, (c, k) in _HELD.items()
+)
+
+
+@query(
+    "sc10_source_discovery",
+    f"""WITH asked AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_quantity > 25), f AS ({_HELD_SQL}), s AS (SELECT *, 0.6::DOUBLE * fields / 4 + 0.4::DOUBLE * known AS score FROM f)
+SELECT source, fields, rows, round(known, 6) AS known, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, rows DESC, source) - 1 AS place FROM s""",
+)
+def source_discovery(t: Tables) -> DataFrame:
+    found = S.discover({n: getattr(t, n) for n in _HELD}, ORDER_FIELDS, "order", t.lineitem.where("l_quantity > 25").select("l_orderkey"))
+    return found.select("source", "fields", "rows", F.round("known", 6).alias("known"), F.round("score", 6).alias("score"), "place")
+
+
 @query("sc11_alias_columns", "SELECT c_custkey AS unit_id, c_acctbal AS balance FROM customer")
 def alias_columns(t: Tables) -> DataFrame:
     return S.resolve(t.customer, {"unit_id": ["id", "C-CustKey"], "balance": ["C_ACCTBAL"]}).select("unit_id", "balance")
