@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,17 +62,17 @@ def grouped_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Seque
     """(by, n, q): exact quantiles (linear interpolation) of each group, null where it has no value; nulls and NaN are left out.
 
     Values are counted by group and run up in ranges, so a group that holds most of the rows is split."""
-    x = df.select(*by, F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).alias("x"))
-    counts = x.where("x is not null").groupBy(*by, "x").agg(F.count("*").cast("double").alias("k"))
-    run = running(counts, "x", ["k"], by)
+    # One text for the group, null in none of its parts, as joins pass over nulls.
+    x = df.select(F.to_json(F.struct(*by)).alias("_g"), F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).alias("x"))
+    run = running(x.where("x is not null").groupBy("_g", "x").agg(F.count("*").cast("double").alias("k")), "x", ["k"], ["_g"])
     at = lambda place: F.min(F.when(F.col("before_k") + F.col("k") > place, F.col("x")))
     spots = [F.lit(float(p)) * (F.col("all_k") - 1) for p in probs]
     ends = [e for i, s in enumerate(spots) for e in (at(F.floor(s)).alias(f"a{i}"), at(F.least(F.floor(s) + 1, F.col("all_k") - 1)).alias(f"b{i}"))]
-    found = run.groupBy(*by).agg(F.max("all_k").cast("long").alias("n"), *ends)
+    found = run.groupBy("_g").agg(F.max("all_k").cast("long").alias("n"), *ends)
     part = lambda p: F.lit(float(p)) * (F.col("n") - 1) - F.floor(F.lit(float(p)) * (F.col("n") - 1))
-    q = found.select(*by, "n", F.array(*(F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * part(p) for i, p in enumerate(probs))).alias("q"))
-    groups, same = x.select(*by).distinct(), reduce(and_, [F.col(f"l.{b}").eqNullSafe(F.col(f"r.{b}")) for b in by])
-    return groups.alias("l").join(q.alias("r"), same, "left").select(*(F.col(f"l.{b}").alias(b) for b in by), F.coalesce("r.n", F.lit(0)).alias("n"), "r.q")
+    q = found.select("_g", "n", F.array(*(F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * part(p) for i, p in enumerate(probs))).alias("q"))
+    groups = df.select(*by).distinct().withColumn("_g", F.to_json(F.struct(*by)))
+    return groups.join(q, "_g", "left").select(*by, F.coalesce("n", F.lit(0)).alias("n"), "q")
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: Mapping[str, float], accuracy: int = 1000) -> DataFrame:
