@@ -183,7 +183,12 @@ def component_sizes(t: Tables) -> DataFrame:
     return connected_components(links(t)).groupBy("root").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n"))
 
 
-@query("mg14_edge_components")
+@query(
+    "mg14_edge_components",
+    f"""WITH RECURSIVE {EDGES_SQL}, sides AS (SELECT 2 * p_unit_id AS a, 2 * c_unit_id + 1 AS b FROM edges UNION SELECT 2 * c_unit_id + 1, 2 * p_unit_id FROM edges),
+walk AS (SELECT a AS node, a AS root FROM sides UNION SELECT s.b, w.root FROM walk w JOIN sides s ON s.a = w.node), comp AS (SELECT node, min(root) AS root FROM walk GROUP BY 1)
+SELECT count(DISTINCT p_unit_id) AS cases, count(DISTINCT c_unit_id) AS controls, count(*) AS edges, round(count(*) / (count(DISTINCT p_unit_id) * count(DISTINCT c_unit_id))::DOUBLE, 6) AS density FROM edges JOIN comp ON node = 2 * p_unit_id GROUP BY root""",
+)
 def edge_components(t: Tables) -> DataFrame:
     return assign.component_audit(graph(t)).select("cases", "controls", "edges", R("density", 6).alias("density"))
 

@@ -226,8 +226,20 @@ def parsed_config(t: Tables) -> DataFrame:
     return t.orders.select(F.regexp_extract(text, "best_epoch=([0-9]+)", 1).cast("int").alias("e")).agg(F.median("e").alias("median_epoch"))
 
 
-@query("sp29_data_dictionary")
+_KINDS = {"BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "INTEGER": "int", "DATE": "date", "TIMESTAMP": "timestamp_ntz"}
+_KIND_SQL = "CASE {} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _KINDS.items()) + " END"
+_DICTIONARY_SQL = " UNION ALL ".join(
+    f"SELECT {i}::INTEGER AS position, '{c}' AS field, {_KIND_SQL.format(f'any_value(typeof({c}))')} AS type, 'orders' AS \"table\", count({c}) AS present, count(DISTINCT {c}) AS n_distinct FROM orders"
+    for i, c in enumerate(("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"))
+)
+
+
+@query("sp29_data_dictionary", _DICTIONARY_SQL)
 def data_dictionary(t: Tables) -> DataFrame:
+    """Every column of a table with its type, how many rows have it and how many values it has."""
     from ..sources.tables import facts
 
-    return facts(t.orders).withColumn("table", F.lit("orders"))
+    columns = t.orders.columns
+    counts = t.orders.agg(*(F.struct(F.lit(c).alias("field"), F.count(c).alias("present"), F.count_distinct(c).alias("n_distinct")).alias(f"c{i}") for i, c in enumerate(columns)))
+    own = counts.select(F.explode(F.array(*(f"c{i}" for i in range(len(columns))))).alias("c")).select("c.*")
+    return facts(t.orders).join(own, "field").select("position", "field", "type", F.lit("orders").alias("table"), "present", "n_distinct")
