@@ -190,20 +190,19 @@ def pack(rows: DataFrame, length: str = "length", capacity: int = CAPACITY, open
 
     Every task holds `open_bins` bins and a window of `window` pieces; there is a task for each `per_task` pieces, so that
     bins left open at a task's end are few beside its full ones. Pieces go to tasks by a hash of their row's number, so a
-    hot document or source is spread. Null lengths or lengths out of bounds raise ValueError; repeated rows are pieces of
-    their own; an empty table gives an empty one; columns with the added names are replaced."""
-    rows = durable(rows.drop("sequence_id", "offset").withColumn("_row", F.monotonically_increasing_id()))
+    hot document or source is spread. Rows whose length is null or out of bounds stay, with null for both; repeated rows are
+    pieces of their own; an empty table gives an empty one; columns with the added names are replaced."""
+    whole = durable(rows.drop("sequence_id", "offset").withColumn("_row", F.monotonically_increasing_id()))
+    fits = F.coalesce(F.col(length).between(1, capacity), F.lit(False))
+    rows = whole.where(fits)
     tasks = max(1, -(-rows.count() // per_task))
-    names = rows.columns
+    names = whole.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, first = Bins(capacity, open_bins), TaskContext.get().partitionId() << 40
 
         def placed(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            lengths = table.column(length)
-            if table.num_rows and (lengths.null_count or pc.min(lengths).as_py() < 1 or pc.max(lengths).as_py() > capacity):
-                raise ValueError(f"a piece's length is null or not from 1 to {capacity}")
-            own = np.array(packed(lengths.to_pylist(), bins, window), dtype=np.int64).reshape(-1, 2)
+            own = np.array(packed(table.column(length).to_pylist(), bins, window), dtype=np.int64).reshape(-1, 2)
             table = table.append_column("sequence_id", pa.array(own[:, 0] + first)).append_column("offset", pa.array(own[:, 1]))
             yield from table.combine_chunks().to_batches()
 
@@ -221,7 +220,9 @@ def pack(rows: DataFrame, length: str = "length", capacity: int = CAPACITY, open
 
     dealt = rows.repartition(tasks, "_row").sortWithinPartitions(F.xxhash64("_row"), "_row")
     schema = StructType(list(rows.schema.fields)).add("sequence_id", LongType()).add("offset", LongType())
-    return dealt.mapInArrow(work, schema).select(*(c for c in names if c != "_row"), "sequence_id", "offset")
+    none = F.lit(None).cast("long")
+    out = dealt.mapInArrow(work, schema).unionByName(whole.where(~fits).withColumns({"sequence_id": none, "offset": none}))
+    return out.select(*(c for c in names if c != "_row"), "sequence_id", "offset")
 
 
 def sequences(rows: DataFrame, ids: str = "ids") -> DataFrame:
