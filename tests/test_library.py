@@ -102,6 +102,15 @@ def test_ranked_support_by_brute_force(seed):
     assert sum(rank[p] for p in got) == min(sum(rank[p] for p in s) for s in sets if len(s) == most)
 
 
+def test_costs_that_cannot_be_met_raise(spark):
+    """Two cases want two controls each of three, at either size."""
+    g = graph_of(spark, [(p, c, 1) for p in range(2) for c in (10, 11, 12)])
+    cases = g.select("p").distinct()
+    for largest in (0, 10**6):
+        with pytest.raises(Exception, match="get 2 controls"):
+            assign.cheapest_assignment(g, cases, largest=largest).collect()
+
+
 def test_contested_slots(spark):
     """Three vacant slots, two free controls: one stays vacant, at either size, and nothing is raised."""
     g = graph_of(spark, [(p, c, 1) for p in range(3) for c in (10, 11)])
