@@ -81,7 +81,7 @@ def nearest(t: Tables) -> DataFrame:
     from ..operators.spatial import nearest_join
 
     p = points(t)
-    return nearest_join(p.where("k % 50 = 0").withColumnRenamed("k", "site"), p.where("k % 50 <> 0").withColumnRenamed("k", "nearest"), "site", "nearest", 500.0).select("site", "nearest", F.round("dist", 6).alias("dist"))
+    return nearest_join(p.where("k % 50 = 0").withColumnRenamed("k", "site"), p.where("k % 50 <> 0").withColumnRenamed("k", "nearest"), "site", "nearest", 500.0, 6).select("site", "nearest", F.round("dist", 6).alias("dist"))
 
 
 @query("j11_grid_adjacency", "WITH g AS (SELECT p_partkey AS k, p_partkey * 31 % 97 AS r, p_partkey * 17 % 89 AS c FROM part) SELECT DISTINCT a.k AS a, b.k AS b FROM g a JOIN g b ON a.k < b.k AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND (a.r <> b.r OR a.c <> b.c)")
