@@ -106,7 +106,7 @@ def rectangle_overlap(t: Tables) -> DataFrame:
 
     x, y = F.col("p_retailprice"), (F.col("p_size") * 10).cast("double")
     r = t.part.select(F.col("p_partkey").alias("k"), x.alias("x0"), (x + 5).alias("x1"), y.alias("y0"), (y + 8).alias("y1"))
-    return rectangle_overlaps(r, "k", 20.0).select("a", "b", F.round("area", 6).alias("area"))
+    return rectangle_overlaps(r, "k", (2.0, 10.0)).select("a", "b", F.round("area", 6).alias("area"))
 
 
 # Squares on their corners: in the turned axes x + y and x - y they are upright, which gives the SQL their overlaps.
