@@ -119,7 +119,7 @@ def polygon_overlap(t: Tables) -> DataFrame:
     point = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
     ring = F.array(point(x + h, y), point(x, y + h), point(x - h, y), point(x, y - h))
     ring = F.when(F.col("p_partkey") % 2 == 0, ring).otherwise(F.reverse(ring))
-    found = polygon_overlaps(t.part.select(F.col("p_partkey").alias("k"), ring.alias("ring")), "k", 20.0)
+    found = polygon_overlaps(t.part.select(F.col("p_partkey").alias("k"), ring.alias("ring")), "k", (2.0, 10.0))
     return found.select("a", "b", F.round("area", 6).alias("area"), F.round("share", 10).alias("share"))
 
 
