@@ -91,3 +91,9 @@ def logit(c: Column, clip: float = 1e-6) -> Column:
 def rounded(c: Column, digits: int = 6) -> Column:
     """A double with so many decimals, and no negative zero."""
     return F.round(c.cast("double"), digits) + F.lit(0.0)
+
+
+def rounded_as_sql(c: Column, digits: int = 6) -> Column:
+    """Rounded as SQL engines on doubles do: the scaled double, half away from zero. F.round takes the shortest decimal
+    digits instead, and differs where these end in a 5 that the double is not quite."""
+    return F.round(c.cast("double") * 10.0**digits) / 10.0**digits

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import rounded_as_sql
 from ..operators import statistics as S
 from ..operators.bootstrap import DIGITS, DRAWS, STEPS, draw_counts, paired_bootstrap, replicate_medians
 from ..operators.context import deviations
@@ -43,7 +44,7 @@ def cluster_draws(t: Tables) -> DataFrame:
 def medians(t: Tables) -> DataFrame:
     """The median margin of the sets in each of 10,000 replicates."""
     margins = set_scores(t).select("set_id", (F.col("ctx_p") - F.greatest("ctx_1", "ctx_2")).alias("margin"))
-    return replicate_medians(margins, "set_id", "margin", B, 7).select(F.col("b").cast("long").alias("b"), F.col("n").cast("long").alias("n"), R("median", 6).alias("median"))
+    return replicate_medians(margins, "set_id", "margin", B, 7).select(F.col("b").cast("long").alias("b"), F.col("n").cast("long").alias("n"), rounded_as_sql(F.col("median")).alias("median"))
 
 
 @query("in3_expansion_audit", f"WITH {SETSCORE_SQL}, {DRAWS_SQL}, e AS (SELECT b, avg(two) AS c FROM (SELECT b, two, unnest(range(times)) FROM cnt JOIN w USING (set_id)) GROUP BY 1), a AS (SELECT b, sum(times * two) / sum(times)::DOUBLE AS a FROM cnt JOIN w USING (set_id) GROUP BY 1) SELECT count(*) FILTER (abs(a - c) > 1e-12) AS mismatches, count(*) AS replicates, round(avg(c), 6) AS mean FROM e JOIN a USING (b)")
