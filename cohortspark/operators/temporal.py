@@ -27,6 +27,13 @@ def span(df: DataFrame, ts: str) -> tuple[str, str]:
     return first, last
 
 
+def last_span(df: DataFrame, ts: str, n: int) -> tuple[str, str]:
+    """First and last of the table's last n slots."""
+    first, last = F.min("slot"), F.max("slot")
+    found = df.select(slot_of(ts).alias("slot")).agg(F.greatest(first, last - F.expr(f"INTERVAL {30 * (n - 1)} MINUTES")).cast("string"), last.cast("string"))
+    return tuple(found.first())
+
+
 def grid(keys: DataFrame, key: str, first: str, last: str) -> DataFrame:
     """Every slot from first to last for each distinct key."""
     slots = F.explode(F.sequence(F.lit(first).cast("timestamp_ntz"), F.lit(last).cast("timestamp_ntz"), F.expr(STEP)))

@@ -71,6 +71,7 @@ def seven_summaries(t: Tables) -> DataFrame:
 # Units: users with an embedding; static: its 64 values and the squares of the first 28; series: 70 half hours of ten
 # channels (value, eight rolling sums, decayed index). Sets are three users in turn.
 CHANNELS = ("v", *(f"h{h}" for h in HOURS), "api")
+SLOTS, PAST = 70, 240  # the longest sum and the decayed index reach back PAST slots, the slot itself included
 _SUMS = ", ".join(f"sum(v) OVER (PARTITION BY user_id ORDER BY slot ROWS BETWEEN {2 * h - 1} PRECEDING AND CURRENT ROW) AS h{h}" for h in HOURS)
 TENSOR_SQL = f"""{GRID_SQL},
 n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY slot) AS i, row_number() OVER (PARTITION BY user_id ORDER BY slot DESC) AS back, {_SUMS} FROM rain),
@@ -89,10 +90,10 @@ _SEEN = "len({f})::INTEGER AS dim, round(list_sum({f}), 2) AS total, round(list_
 
 
 def tensor(t: Tables) -> DataFrame:
-    """(user_id, r): 70 x 10 values, time by time."""
-    n = T.decayed_sum(T.rolling_sums(rain(t), "user_id", "slot", "v", HOURS), "user_id", "slot", "v", 0.9, 240).withColumnRenamed("decayed", "api")
+    """(user_id, r): 70 x 10 values, time by time. They depend on the grid's last SLOTS + PAST - 1 slots only."""
+    n = T.decayed_sum(T.rolling_sums(rain(t, SLOTS + PAST - 1), "user_id", "slot", "v", HOURS), "user_id", "slot", "v", 0.9, PAST).withColumnRenamed("decayed", "api")
     back = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("slot")))
-    n = n.withColumn("back", back).where("back <= 70")
+    n = n.withColumn("back", back).where(F.col("back") <= SLOTS)
     return n.groupBy("user_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("slot", F.array(*CHANNELS).alias("x")))), lambda s: s["x"])).alias("r"))
 
 

@@ -18,8 +18,10 @@ grid AS (SELECT u.user_id, s.slot FROM (SELECT DISTINCT user_id FROM events) u,
 rain AS (SELECT g.user_id, g.slot, coalesce(v, 0.0) AS v FROM grid g LEFT JOIN (SELECT user_id, time_bucket(INTERVAL 30 MINUTE, ts) AS slot, sum(value) AS v FROM events GROUP BY ALL) e ON e.user_id = g.user_id AND e.slot = g.slot)"""
 
 
-def rain(t: Tables) -> DataFrame:
-    return T.densify(T.slotted(t.events, "user_id", "ts", "value"), "user_id", *T.span(t.events, "ts"))
+def rain(t: Tables, last: int | None = None) -> DataFrame:
+    """Every user's grid, or its `last` slots."""
+    ends = T.last_span(t.events, "ts", last) if last else T.span(t.events, "ts")
+    return T.densify(T.slotted(t.events, "user_id", "ts", "value"), "user_id", *ends)
 
 
 @query("wn2_top_k", f"WITH {SETS_SQL} SELECT k, count(*) AS n_edges, count(DISTINCT p_unit_id) AS n_cases, count(DISTINCT c_unit_id) AS n_controls FROM ranked, (SELECT unnest([1, 2, 5, 25]) AS k) WHERE r <= k GROUP BY 1")
