@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import rounded
-from ..operators import assign as A
 from ..operators import boosting as B
+from ..operators import grouped
 from ..operators import learn as L
 from ..operators import metrics as M
 from ..operators import network as N
@@ -240,10 +240,10 @@ def adapter_contract(t: Tables) -> DataFrame:
 def rematched(t: Tables) -> DataFrame:
     """(set_id, slot, unit_id) of a new matching: the cases of the largest support with two controls of their own each, at
     least total distance."""
-    from .matching import graph
+    from .matching import groups
 
-    g = t.once("graph", lambda: graph(t))
-    a = A.cheapest_assignment(g, A.common_support(g))
+    g = groups(t)
+    a = grouped.cheapest_assignment(g, grouped.common_support(g))
     slot = F.row_number().over(Window.partitionBy("p").orderBy("cost", "c"))
     own = durable(a.withColumn("slot", slot).select(F.col("p").alias("set_id"), "slot", F.col("c").alias("unit_id")))
     return own.union(own.select("set_id").distinct().select("set_id", F.lit(0).alias("slot"), F.col("set_id").alias("unit_id")))
