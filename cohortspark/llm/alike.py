@@ -27,9 +27,13 @@ FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class Hashes(dict):
-    """XXH64 of words, each taken once."""
+    """XXH64 of words, mostly taken once each; beyond MOST words it starts anew."""
+
+    MOST = 50_000
 
     def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
 

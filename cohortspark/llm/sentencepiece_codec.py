@@ -153,7 +153,7 @@ class Codec:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)  # a worker that goes on to another stage lets the last one's memo go
 def codec(model: bytes, threads: int) -> Codec:
     return Codec(model, threads)
 

@@ -165,3 +165,15 @@ def test_parities_never_exclude_a_link(spark):
             x, y = alike.shingle_set(a.encode(), 5), alike.shingle_set(b.encode(), 5)
             differ = sum((p ^ q).bit_count() if p ^ q >= 0 else ((p ^ q) + (1 << 64)).bit_count() for p, q in zip(got[i][1], got[j][1], strict=True))
             assert got[i][0] == len(x) and differ <= len(x ^ y)
+
+
+def test_memos_of_a_worker_are_bounded(monkeypatch):
+    """Hashes start anew beyond their bound, with the same results, and one codec is held at a time."""
+    from cohortspark.llm import alike, sentencepiece_codec
+
+    text = b" ".join(b"w%d" % (i % 70) for i in range(300))
+    whole = alike.shingle_hashes(text, 5, alike.Hashes())
+    monkeypatch.setattr(alike.Hashes, "MOST", 20, raising=False)
+    memo = alike.Hashes()
+    assert alike.shingle_hashes(text, 5, memo).tolist() == whole.tolist() and len(memo) <= 20
+    assert sentencepiece_codec.codec.cache_parameters()["maxsize"] == 1
