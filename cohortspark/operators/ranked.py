@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from . import assign
 from .graph import durable
-from .grouped import Groups, _by_degree, _Network, _read, parts
+from .grouped import Groups, _by_degree, _Network, _read, _tasks, parts
 
 PIECES = "part long, p long, c long, most long, n_c long"
 
@@ -292,7 +292,7 @@ def ranked_support(g: Groups, ranks: DataFrame, largest: int = assign.LARGEST_FL
         return pd.DataFrame(list(out.items()), columns=["first", "_n"]).astype("int64")
 
     small, big = parts(g, largest)
-    found = small.groupBy("component").applyInPandas(contested, PIECES)
+    found = _tasks(small)[0].groupBy("_task").applyInPandas(contested, PIECES)
     members = g.cases
     if big is not None:
         e = durable(big.select("p", "c").distinct())

@@ -240,10 +240,9 @@ def adapter_contract(t: Tables) -> DataFrame:
 def rematched(t: Tables) -> DataFrame:
     """(set_id, slot, unit_id) of a new matching: the cases of the largest support with two controls of their own each, at
     least total distance."""
-    from .matching import groups
+    from .matching import supported
 
-    g = groups(t)
-    a = grouped.cheapest_assignment(g, grouped.common_support(g))
+    a = grouped.cheapest_assignment(*supported(t))
     slot = F.row_number().over(Window.partitionBy("p").orderBy("cost", "c"))
     own = durable(a.withColumn("slot", slot).select(F.col("p").alias("set_id"), "slot", F.col("c").alias("unit_id")))
     return own.union(own.select("set_id").distinct().select("set_id", F.lit(0).alias("slot"), F.col("set_id").alias("unit_id")))
